@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "simhash", "suffixdedup", "tokens", "langid", "decontaminate"]
+MODULES = ["mixing", "simhash", "suffixdedup", "ppm", "tokens", "langid", "decontaminate", "ann"]
 
 
 def queries() -> dict:
