@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "simhash", "suffixdedup", "ppm", "tokens", "langid", "decontaminate", "ann"]
+MODULES = ["mixing", "simhash", "suffixdedup", "ppm", "tokens", "langid", "html", "decontaminate", "quality", "ann"]
 
 
 def queries() -> dict:
