@@ -147,7 +147,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     while True:
         last = most <= block
         n = 1 if last else -(-most // block)
-        now = now.groupBy("source", F.pmod(F.xxhash64("h", "row"), F.lit(n)).alias("b")).applyInPandas(_fly(last), schema)
+        now = now.groupBy("source", F.pmod(F.xxhash64("h"), F.lit(n)).alias("b")).applyInPandas(_fly(last), schema)
         if last:
             done.append(now)
             break
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("id", "h", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("id", "h", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0)).cast("long").alias("copies"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
