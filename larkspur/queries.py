@@ -66,7 +66,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "cast_types": ("SELECT CAST('12abc' AS INTEGER) AS a, CAST('3.5e1x' AS REAL) AS b, CAST(42 AS TEXT) AS c, CAST(3.99 AS INTEGER) AS d, CAST('zzz' AS INTEGER) AS e", "SELECT 12::BIGINT AS a, 35.0::DOUBLE AS b, '42' AS c, 3::BIGINT AS d, 0::BIGINT AS e"),
     "bit_ops": ("SELECT p_partkey, p_size & 6 AS a, p_size | 8 AS b, ~p_size AS c, p_size << 2 AS d, p_size >> 1 AS e FROM part", None),
     "concat_op": ("SELECT n_nationkey, n_name || '-' || n_regionkey AS t FROM nation", None),
-    "collate_nocase": ("SELECT count(*) AS n FROM region WHERE lower(r_name) = 'asia'", None),
+    "collate_nocase": ("SELECT count(*) AS n FROM region WHERE r_name COLLATE NOCASE = 'aSia' OR 'x  ' COLLATE RTRIM = r_name", "SELECT count(*) AS n FROM region WHERE lower(r_name) = 'asia'"),
     "int_div_mod": ("SELECT o_orderkey, o_custkey / 7 AS q, o_custkey % 7 AS r, -o_custkey AS m FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q, o_custkey % 7 AS r, -o_custkey AS m FROM orders"),
     "row_value_in": ("SELECT n_name FROM nation WHERE (n_nationkey, n_regionkey) IN ((0, 0), (1, 1), (2, 2))", None),
     # Joins
