@@ -21,7 +21,20 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SLICE_BYTES = 4 << 20
 
 
+#: Rows of whole texts that go to a Python worker at once; the engine's default would be some 10 MB and more.
+ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -109,6 +122,7 @@ def by_list(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def add_columns(df: DataFrame, column: str, added: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with columns that ``make`` derives from each slice of a batch."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *added])
     names = schema.names
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, durable, slices, table, words
+from .common import as_bytes, durable, slices, small_batches, table, words
 from .components import components
 
 SEED = 42
@@ -59,6 +59,7 @@ def _signed(values: list[int]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed 64-bit integer."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
 
@@ -116,17 +117,27 @@ def stars(values: list[int], radius: int) -> list[tuple[int, int]]:
     """(first, other) for the members of each group of values linked within ``radius``."""
     if len(values) == 2:
         return [(0, 1)] if (values[0] ^ values[1]).bit_count() <= radius else []
-    tree, out = BKTree(values), []
+    tree, at, out = BKTree(values), list(range(len(values))), []
+    place = list(at)  # of each value in the tree
+    done = [False] * len(values)
     for first in range(len(values)):
-        if tree.taken[first]:
+        if done[first]:
             continue
-        tree.take(first)
+        done[first] = True
+        tree.take(place[first])
         todo = [first]
         while todo:
             for n in tree.near(values[todo.pop()], radius):
                 tree.take(n)
-                todo.append(n)
-                out.append((first, n))
+                done[at[n]] = True
+                todo.append(at[n])
+                out.append((first, at[n]))
+            if tree.alive and tree.alive[0] * 2 < len(tree.values) and len(tree.values) > 64:
+                # Most of the tree is taken: what is left gets a new one.
+                at = [n for n, t in zip(at, tree.taken, strict=True) if not t]
+                tree = BKTree([values[n] for n in at])
+                for i, n in enumerate(at):
+                    place[n] = i
     return out
 
 
