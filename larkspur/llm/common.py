@@ -121,15 +121,17 @@ def by_list(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def add_columns(df: DataFrame, column: str, added: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``df`` with columns that ``make`` derives from each slice of a batch."""
+    """``df`` with columns that ``make`` derives from each slice of a batch; one of the same name is replaced."""
     small_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *added])
+    new = {f.name.lower() for f in added}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *added])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):
-                yield pa.RecordBatch.from_arrays([*part.columns, *make(part)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *make(part)], names=names)
 
     return df.mapInArrow(run, schema)
 
