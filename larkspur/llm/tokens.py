@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_path, slices, table
+from .common import shared_path, slices, small_batches, table
 
 END = 0
 STRIPE_BYTES = 64 << 20
 ROW_STRIDE = 1_000
 #: Words whose ids a worker remembers; it starts afresh beyond this.
-CACHE = 600_000
+CACHE = 800_000
 
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s[ ]|[ ]\s")
+#: White space other than space and line feed; a text that has any is cut with more care.
+_OTHER_SPACE = [c for c in map(chr, [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])]
+#: A word that ends with a letter and then marks: the letters and the marks are encoded apart.
+_MARKED = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-^`{-~]+)", re.S)
+
+
+class _Memo(dict):
+    """Ids of words that stand after a space, or after none; learned on the first use of each."""
+
+    def __init__(self, tokenizer, space: bool, marks: dict | None = None) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.space = tokenizer, tokenizer.model, space
+        self.marks = self if marks is None else marks
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        text = " " + word if self.space else word
+        if word.isalpha():
+            # One piece for the splitter, so the model can have it as it is, in the vocabulary's letters for bytes.
+            out = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin1").translate(self.shown))]).tobytes()
+        elif found := _MARKED.fullmatch(word):
+            out = self[found[1]] + self.marks[found[2]]
+        else:
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = out
+        return out
 
 
 class Encoder:
     """Whole texts to ids.
 
-    A byte-level BPE splits a text before every single space between other characters, whatever
-    stands around it, so the pieces between such spaces are encoded once and remembered.
+    A byte-level BPE splits a text before every single space between other characters, around
+    every single line feed between them, and between a letter and a mark, whatever stands
+    around; so words are encoded once and remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,29 +82,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.first = _Memo(self.tokenizer, space=False)
+        self.known = _Memo(self.tokenizer, space=True, marks=self.first)
+        self.feed = self.first["\n"]
 
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, dtype="<u4").tobytes()
+    @staticmethod
+    def _cut(text: str) -> list[list[str]]:
+        """Lines of words, or one line of longer pieces where white space runs together."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _OTHER_SPACE):
+            return [_PLAIN_SPACE.split(text)]
+        return [line.split(" ") for line in text.split("\n")]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
-        cut = [_PLAIN_SPACE.split(t) if _ODD_SPACE.search(t) or t[:1] == " " or t[-1:] == " " else t.split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        if len(self.first) > CACHE:
-            self.first = {}
-        need: set[str] = set()
-        for words in cut:
-            need.update(words[1:])
-        self._learn(self.known, [w for w in need if w not in self.known], " ")
-        self._learn(self.first, [w for w in {words[0] for words in cut} if w not in self.first], "")
-        get, end = self.known.__getitem__, np.array([END], dtype="<u4").tobytes()
-        return [self.first[words[0]] + b"".join(map(get, words[1:])) + end for words in cut]
+        get, first, end = self.known.__getitem__, self.first, np.array([END], dtype="<u4").tobytes()
+        return [self.feed.join([first[line[0]] + b"".join(map(get, line[1:])) for line in self._cut(t)]) + end for t in texts]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder, which remembers its words from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -85,16 +118,17 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 def write_token_table(docs: DataFrame, path: str, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> None:
     """Write (doc_id, n_tokens, part, start_in_part, ids) of every row to ORC files at ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     where = tokenizer or public_tokenizer()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, part = Encoder(where), 0, TaskContext.get().partitionId()
+        own, at, part = encoder(where), 0, TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                made = encoder.encode([x or "" for x in piece.column("text").to_pylist()])
+                made = own.encode([x or "" for x in piece.column("text").to_pylist()])
                 n = np.array([len(m) // 4 for m in made], dtype=np.int64)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), dtype="<i4")))
