@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,8 +85,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     """Row ranges of ``batch`` with about ``limit`` bytes of text each, and one row at least."""
     if not batch.num_rows:
         return
-    lengths = batch.column(column).cast(pa.large_binary()).combine_chunks() if isinstance(batch.column(column), pa.ChunkedArray) else batch.column(column).cast(pa.large_binary())
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False), dtype=np.int64) + 64
+    lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0)
+    sizes = lengths.to_numpy(zero_copy_only=False).astype(np.int64) + 64
     ends, at = np.cumsum(sizes), 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
