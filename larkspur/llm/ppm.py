@@ -30,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, held_out, interned, slices, table, words
+from .common import as_bytes, durable, held_out, interned, slices, small_batches, table, words
 
 ORDER = 5
 SHARE = 2.0**-16
@@ -157,15 +158,17 @@ class Trie:
 
 #: Contexts whose counts travel together.
 GROUP = 256
+#: Tasks whose counts meet first, before all do.
+TASKS = 32
 
 
-def _grouped(counts: np.ndarray) -> pa.RecordBatch:
-    """Flat counts as rows (group, places, times) without zeros."""
+def _grouped(counts: np.ndarray, task: int) -> pa.RecordBatch:
+    """Flat counts as rows (group, tasks, blob of places and times) without zeros."""
     at = np.flatnonzero(counts)
     group = at // (GROUP * SYMBOLS)
     cuts = np.flatnonzero(np.diff(group)) + 1
     rows = [(int(g[0]), zstandard.compress(x.astype("<i8").tobytes() + counts[x].astype("<i8").tobytes(), 1)) for g, x in zip(np.split(group, cuts), np.split(at, cuts), strict=True) if len(x)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([task // TASKS] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "t", "blob"])
 
 
 def _added(blobs: list[bytes], size: int, base: int = 0) -> np.ndarray:
@@ -182,7 +185,7 @@ def _sum_group(rows: pa.Table) -> pa.Table:
     sums = _added(rows.column("blob").to_pylist(), GROUP * SYMBOLS, base)
     at = np.flatnonzero(sums)
     blob = zstandard.compress((at + base).astype("<i8").tobytes() + sums[at].tobytes(), 1)
-    return pa.table([pa.array([g], pa.int32()), pa.array([blob], pa.binary())], names=["g", "blob"])
+    return pa.table([pa.array([g], pa.int32()), rows.column("t").slice(0, 1), pa.array([blob], pa.binary())], names=["g", "t", "blob"])
 
 
 def _counted(rows: DataFrame, make, size: int) -> np.ndarray:
@@ -195,17 +198,19 @@ def _counted(rows: DataFrame, make, size: int) -> np.ndarray:
                 new = make(symbols(as_bytes(part.column("text"))))
                 sums = new.astype(np.int64) if sums is None else np.add(sums, new, out=sums)
         if sums is not None:
-            yield _grouped(sums)
+            yield _grouped(sums, TaskContext.get().partitionId())
 
-    got = rows.mapInArrow(run, "g int, blob binary").groupBy("g").applyInArrow(_sum_group, "g int, blob binary").toArrow()
+    kind = "g int, t int, blob binary"
+    got = rows.mapInArrow(run, kind).groupBy("g", "t").applyInArrow(_sum_group, kind).groupBy("g").applyInArrow(_sum_group, kind).toArrow()
     return _added(got.column("blob").to_pylist(), size)
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
-    """Count all texts: three orders in the first scan, then one scan for each longer order."""
+    """Count all texts: two orders in the first scan, then one scan for each longer order."""
+    small_batches(docs.sparkSession)
     trie = Trie()
     rows = docs.select(F.col(text).alias("text"))
-    low = min(order, 2)
+    low = min(order, 1)
 
     def short(sym: np.ndarray) -> np.ndarray:
         key, size = sym.astype(np.int64), SYMBOLS
