@@ -24,6 +24,7 @@ texts of under ``LENGTH`` bytes lose nothing; other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -42,6 +43,10 @@ RUN = 63
 DEPTH = RUN + LENGTH - 1
 #: Bytes of a document hashed at once.
 PIECE = 1 << 20
+#: Bytes of segments sorted at once, but for the segments of one anchor, which stay together.
+SORTED = 1 << 19
+#: Shards for each part of the documents; a shard is the larger in memory.
+SHARDS = 8
 #: Bytes of an anchor that are compared in step 2; a chance hit only costs time.
 KEY_BYTES = 6
 
@@ -68,7 +73,10 @@ def _window_least(h: np.ndarray) -> np.ndarray:
     while 2 * w <= width:
         h = np.minimum(h[:-w], h[w:])
         w *= 2
-    return np.minimum(h[: len(h) - (width - w)], h[width - w :]) if width > w else h
+    h = np.minimum(h[: len(h) - (width - w)], h[width - w :]) if width > w else h
+    # The least of many hashes is small; spread over all numbers, it deals evenly to shards.
+    h = (h ^ h >> np.uint64(31)) * _C[1]
+    return (h ^ h >> np.uint64(33)) * _C[0]
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +164,18 @@ class Part:
                 yield s, rows, keys, of
 
 
+def _settle() -> None:
+    """Give back to the system what the group before has left in this worker's pools."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _ask(shards: int):
     def run(rows: pa.Table) -> pa.Table:
+        _settle()
         part, out = rows.column("part")[0].as_py(), []
         docs = Part(rows)
         for s, mine, keys, of in docs.asked(shards):
@@ -192,6 +210,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 def _send(shards: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        _settle()
         out = []
         if rows.num_rows and answers.num_rows:
             part, docs = rows.column("part")[0].as_py(), Part(rows)
@@ -333,14 +352,28 @@ class SuffixArray:
                     stack.append([now, first, low_, high_])
 
 
-def shard_repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(repeat, length, id, first byte, part of ``blobs``) of every place of every repeat of a shard."""
+def _batches(segments_: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """``segments_``, in the order of their anchors, in runs of about ``SORTED`` bytes that split no anchor."""
+    ends = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor)) if len(anchor) else np.zeros(0, dtype=np.int64)
+    bytes_, at = np.cumsum(size), 0
+    while at < len(segments_):
+        done = bytes_[at - 1] if at else 0
+        to = ends[min(np.searchsorted(bytes_[ends - 1], done + SORTED), len(ends) - 1)]
+        yield segments_[at:to]
+        at = int(to)
+
+
+Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def shard_repeats(blobs: list[bytes]) -> Iterator[Places]:
+    """(repeat, length, id, first byte, part of ``blobs``) of every place of every repeat of a shard, in batches."""
     index: dict[bytes, int] = {}
     anchors: list[int] = []
     segs, ids, starts, origin = [], [], [], []
     for o, blob in enumerate(blobs):
         anchor, _, seg, id_, start, contents = _opened(blob)
-        here = np.zeros(len(contents), dtype=np.int64)
+        here = np.zeros(len(contents), dtype=np.int32)
         for j, content in enumerate(contents):
             k = index.setdefault(content, len(index))
             if k == len(anchors):
@@ -351,57 +384,79 @@ def shard_repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         starts.append(start)
         origin.append(np.full(len(seg), o, dtype=np.int32))
     contents = list(index)
+    del index
     seg, id_, start, origin_ = (np.concatenate(x) for x in (segs, ids, starts, origin))
+    del segs, ids, starts, origin
     order = np.argsort(seg, kind="stable")
-    id_, start, origin_ = id_[order], start[order], origin_[order]
     first = np.searchsorted(seg[order], np.arange(len(contents) + 1))
-    size = np.array([len(c) for c in contents], dtype=np.int64)
+    id_, start, origin_ = id_[order], start[order], origin_[order]
+    size = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
     _, of, times = np.unique(np.array(anchors, dtype=np.uint64), return_inverse=True, return_counts=True)
     alone = times[of] == 1
-    whole = np.flatnonzero(alone & (np.diff(first) > 1))
-    repeats = [(int(size[s]), [(int(s), 0)]) for s in whole]
+    done = 0
+
+    def places(length: np.ndarray, count: np.ndarray, where: np.ndarray, shift: np.ndarray) -> Places:
+        """Of repeats with ``count`` segments each, the places of those segments."""
+        nonlocal done
+        many = first[where + 1] - first[where]
+        row = np.repeat(np.arange(len(where)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[where[row]]
+        repeat = np.repeat(np.arange(len(count)), count)[row]
+        out = repeat + done, length[repeat], id_[at], start[at] + shift[row], origin_[at]
+        done += len(count)
+        return out
+
+    # A segment that several documents have is a repeat, whatever overlaps it.
+    whole = np.flatnonzero(np.diff(first) > 1)
+    for at in range(0, len(whole), 4_000):
+        some = whole[at : at + 4_000]
+        yield places(size[some], np.ones(len(some), dtype=np.int64), some, np.zeros(len(some), dtype=np.int64))
     mixed = np.flatnonzero(~alone)
-    if len(mixed):
-        array = SuffixArray([contents[s] for s in mixed])
-        real = mixed[array.segment]
-        for length, a, b in array.maximal():
-            repeats.append((length, list(zip(real[a : b + 1].tolist(), array.offset[a : b + 1].tolist(), strict=True))))
-        # A segment that several documents have is a repeat even where no other overlaps it.
-        repeats += [(int(size[s]), [(int(s), 0)]) for s in mixed[np.diff(first)[mixed] > 1]]
-    count = np.array([len(p) for _, p in repeats], dtype=np.int64)
-    if not len(count):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
-    repeat = np.repeat(np.arange(len(count)), count)
-    length = np.repeat(np.array([x for x, _ in repeats], dtype=np.int64), count)
-    place = np.array([p for _, ps in repeats for p in ps], dtype=np.int64)
-    many = first[place[:, 0] + 1] - first[place[:, 0]]
-    row = np.repeat(np.arange(len(place)), many)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[place[row, 0]]
-    return repeat[row], length[row], id_[at], start[at] + place[row, 1], origin_[at]
+    mixed = mixed[np.argsort(of[mixed], kind="stable")]
+    for some in _batches(mixed, of[mixed], size[mixed]):
+        array = SuffixArray([contents[s] for s in some])
+        found = np.array(list(array.maximal()), dtype=np.int64).reshape(-1, 3)
+        if len(found):
+            count = found[:, 2] - found[:, 1] + 1
+            at = np.repeat(found[:, 1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            yield places(found[:, 0], count, some[array.segment[at]], array.offset[at])
 
 
 def _find(rows: pa.Table) -> pa.Table:
     """Of each repeat, the places in all documents but that with the smallest id, for each part."""
+    _settle()
     parts = rows.column("part").to_pylist()
-    repeat, length, id_, start, origin = shard_repeats(rows.column("blob").to_pylist())
-    out = []
-    if len(repeat):
-        least = np.full(int(repeat[-1]) + 1, np.iinfo(np.int64).max)
+    kept: list[np.ndarray] = []
+    for repeat, length, id_, start, origin in shard_repeats(rows.column("blob").to_pylist()):
+        if not len(repeat):
+            continue
+        repeat = repeat - repeat[0]
+        least = np.full(int(repeat.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, repeat, id_)
         gone = np.flatnonzero(id_ > least[repeat])
-        gone = gone[np.lexsort((start[gone], id_[gone], origin[gone]))]
-        cuts = np.searchsorted(origin[gone], np.arange(len(parts) + 1))
-        for o, part in enumerate(parts):
-            mine = gone[cuts[o] : cuts[o + 1]]
-            if len(mine):
-                raw = b"".join(x[mine].astype("<i8").tobytes() for x in (id_, start, length))
-                out.append((part, zstandard.compress(raw, 1)))
+        kept.append(_longest(np.stack([origin[gone].astype(np.int64), id_[gone], start[gone], length[gone]])))
+    spans = _longest(np.concatenate(kept, axis=1)) if kept else np.zeros((4, 0), dtype=np.int64)
+    cuts, out = np.searchsorted(spans[0], np.arange(len(parts) + 1)), []
+    for o, part in enumerate(parts):
+        mine = spans[1:, cuts[o] : cuts[o + 1]]
+        if mine.shape[1]:
+            out.append((part, zstandard.compress(np.ascontiguousarray(mine).astype("<i8").tobytes(), 1)))
     return _table(out, ["part", "blob"], [pa.int32(), pa.binary()])
 
 
+def _longest(spans: np.ndarray) -> np.ndarray:
+    """(part, id, start, length) in order, with the longest of each start, without those inside the one before."""
+    spans = spans[:, np.lexsort((-spans[3], spans[2], spans[1], spans[0]))]
+    if spans.shape[1] < 2:
+        return spans
+    ends = spans[2] + spans[3]
+    inside = (spans[0, 1:] == spans[0, :-1]) & (spans[1, 1:] == spans[1, :-1]) & (ends[1:] <= ends[:-1])
+    return spans[:, np.concatenate(([True], ~inside))]
+
+
 def _cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
     """Each document without the bytes of its spans."""
+    _settle()
     ids = rows.column("id").to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
     got = [np.frombuffer(zstandard.decompress(x), dtype="<i8").reshape(3, -1) for x in spans.column("blob").to_pylist()]
     at = np.concatenate(got, axis=1) if got else np.zeros((3, 0), dtype=np.int64)
@@ -436,21 +491,21 @@ class Dedup:
         rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
         self.loose = rows.where("id is null")
         self.docs = rows.where("id is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "part")
-        asked = self.docs.groupBy("part").applyInArrow(_ask(n), "shard int, part int, keys binary, many binary")
+        asked = self.docs.groupBy("part").applyInArrow(_ask(SHARDS * n), "shard int, part int, keys binary, many binary").repartition(n, "shard")
         self.answers = asked.groupBy("shard").applyInArrow(_answer, "part int, shard int, bits binary")
-        self.sent = self.docs.groupBy("part").cogroup(self.answers.groupBy("part")).applyInArrow(_send(n), "shard int, part int, blob binary")
+        self.sent = self.docs.groupBy("part").cogroup(self.answers.groupBy("part")).applyInArrow(_send(SHARDS * n), "shard int, part int, blob binary").repartition(n, "shard")
 
     def repeats(self) -> DataFrame:
         """(shard, repeat, length, places): every repeat with all its places (id, start)."""
 
         def run(rows: pa.Table) -> pa.Table:
             shard = rows.column("shard")[0].as_py()
-            repeat, length, id_, start, _ = shard_repeats(rows.column("blob").to_pylist())
-            cuts = np.flatnonzero(np.diff(repeat)) + 1
             out = []
-            for r in np.split(np.arange(len(repeat)), cuts) if len(repeat) else []:
-                places = sorted(set(zip(id_[r].tolist(), start[r].tolist(), strict=True)))
-                out.append((shard, int(repeat[r[0]]), int(length[r[0]]), [{"id": i, "start": s} for i, s in places]))
+            for repeat, length, id_, start, _ in shard_repeats(rows.column("blob").to_pylist()):
+                order = np.argsort(repeat, kind="stable")
+                for r in np.split(order, np.flatnonzero(np.diff(repeat[order])) + 1) if len(repeat) else []:
+                    places = sorted(set(zip(id_[r].tolist(), start[r].tolist(), strict=True)))
+                    out.append((shard, int(repeat[r[0]]), int(length[r[0]]), [{"id": i, "start": s} for i, s in places]))
             place = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())]))
             return _table(out, ["shard", "repeat", "length", "places"], [pa.int32(), pa.int64(), pa.int64(), place])
 
