@@ -258,6 +258,40 @@ def test_suffix_dedup_odd(odd, empty):
 # 4: PPM
 
 
+def brute_jaccard(texts, least):
+    """Components by exact Jaccard similarity of five-word shingles, over all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        ws = words(t)
+        sets[i] = {tuple(ws[a : a + 5]) for a in range(max(1, len(ws) - 4))} if ws else set()
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least if sets[i] | sets[j] else True):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
+
+
+@needs_tables
+def test_similarity_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, extra, at = np.random.default_rng(8), [], 10**6
+    for changes in (1, 2, 3, 4, 5, 6, 8, 10, 12):  # of 200 words: similarity from 0.95 down to below 0.6
+        for _ in range(6):
+            ws = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+            near = list(ws)
+            for x in rng.choice(200, changes, replace=False):
+                near[x] = "other"
+            extra += [(at, " ".join(ws), "en", "s", 0), (at + 1, " ".join(near), "en", "s", 0)]
+            at += 2
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    want = brute_jaccard({r.doc_id: r.text for r in docs.collect()}, 0.8)
+    assert {r.id: r.component for r in simhash.groups(docs).collect()} == want
+    assert 20 < sum(i != c for i, c in want.items() if i >= 10**6) < 50
+    assert {r.doc_id for r in simhash.keep_one_of_each(spark, docs, SF).collect()} == set(want.values())
+
+
 @needs_tables
 def test_ppm(spark):
     got = {r.doc_id: r for r in ppm.op4_ppm_scoring(spark, SF).collect()}
