@@ -7,9 +7,11 @@ predicts it with all symbols excluded that longer ones have seen; below the empt
 remaining symbols are alike.  An end symbol closes each text, so the probabilities of all texts
 sum to 1.
 
-A context stays in the trie if at least one in ``1 / SHARE`` training symbols follows it, at any
-size of the corpus.  At most ``1 / SHARE`` contexts of an order can be that frequent, which
-bounds the model that is broadcast: ORDER * 257 / SHARE numbers.
+Every context of the training texts counts.  Contexts are dealt to shards by their last two
+symbols, so a shard has all longer forms of its contexts; those of fewer symbols are 257 * 258
+numbers, which are broadcast.  A batch of documents sends each shard its distinct contexts with
+the symbol that follows and their training counts; the shard adds all batches' counts and sends
+back each one's probability.
 
 The base score needs each word's count in the whole corpus.  Batches of documents send their
 distinct words' hashes with the documents that hold them, by range of the hash; each shard
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, durable, held_out, interned, slices, small_batches, table, words
 
 ORDER = 5
-SHARE = 2.0**-16
 END = 256
 SYMBOLS = 257
 
@@ -84,15 +85,15 @@ class Trie:
         """Contexts of the highest order."""
         return int(self.child[-1].max(initial=-1)) + 1 if self.child else 1
 
-    def grow(self, counts: np.ndarray, total: int, last: bool) -> None:
-        """Add the counts of the longest contexts; keep their frequent extensions as contexts."""
+    def grow(self, counts: np.ndarray, last: bool) -> None:
+        """Add the counts of the longest contexts; their extensions that occur become contexts."""
         counts = counts.astype(np.float64)
         self.counts.append(counts)
         if not last:
-            frequent = counts >= max(1.0, total * SHARE)
-            frequent[:, END] = False
+            occurs = counts > 0
+            occurs[:, END] = False
             child = np.full(counts.shape, -1, dtype=np.int32)
-            child[frequent] = np.arange(int(frequent.sum()))
+            child[occurs] = np.arange(int(occurs.sum()))
             self.child.append(child)
 
     def finish(self) -> None:
@@ -117,7 +118,6 @@ class Trie:
         out = [np.zeros(1, dtype=np.int64)]
         for k in range(1, len(strings)):
             index = {x: i for i, x in enumerate(strings[k - 1])}
-            # Each suffix of a frequent context is at least as frequent, but for the ends of texts.
             out.append(np.array([index.get(x[1:], -1) for x in strings[k]], dtype=np.int64))
         return out
 
@@ -206,7 +206,7 @@ def _counted(rows: DataFrame, make, size: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
-    """Count all texts: two orders in the first scan, then one scan for each longer order."""
+    """A trie of all texts in memory: two orders in the first scan, then one scan for each longer order."""
     small_batches(docs.sparkSession)
     trie = Trie()
     rows = docs.select(F.col(text).alias("text"))
@@ -223,9 +223,9 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
 
     sizes = [SYMBOLS ** (k + 1) for k in range(low + 1)]
     counts = np.split(_counted(rows, short, sum(sizes)), np.cumsum(sizes)[:-1])
-    total, kept = int(counts[0].sum()), np.zeros(1, dtype=np.int64)
+    kept = np.zeros(1, dtype=np.int64)
     for k, c in enumerate(counts):
-        trie.grow(c.reshape(-1, SYMBOLS)[kept], total, last=k == order)
+        trie.grow(c.reshape(-1, SYMBOLS)[kept], last=k == order)
         if k < order:
             context, symbol = np.nonzero(trie.child[-1] >= 0)
             kept = kept[context] * SYMBOLS + symbol
@@ -238,25 +238,116 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Trie:
             has = np.flatnonzero(before < n)
             return np.bincount(before[has].astype(np.int64) * SYMBOLS + sym[has], minlength=n * SYMBOLS)
 
-        trie.grow(_counted(rows, longer, n * SYMBOLS).reshape(-1, SYMBOLS), total, last=k == order)
+        trie.grow(_counted(rows, longer, n * SYMBOLS).reshape(-1, SYMBOLS), last=k == order)
     trie.finish()
     return trie
 
 
-def word_batches(docs: DataFrame, model: Trie, shards: int) -> DataFrame:
+def grams(text: np.ndarray) -> np.ndarray:
+    """Each symbol below the ``ORDER`` before it, the nearest on top, nine bits each; the end stands for what is before a text."""
+    key, none = text.astype(np.int64), np.zeros(len(text), dtype=bool)
+    for k in range(1, ORDER + 1):
+        x = np.full(len(text), END, dtype=np.int64)
+        x[k:] = text[:-k]
+        none |= x == END
+        x[none] = END
+        key |= x << 9 * (ORDER + 1 - k)
+    return key
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two symbols of the context."""
+    last = (keys >> 9 * (ORDER - 1)).astype(np.uint64)
+    return ((last * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
+def low_orders(model: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of symbols, and of symbols after each symbol."""
+    after = np.zeros((SYMBOLS, SYMBOLS))
+    has = np.flatnonzero(model.child[0][0] >= 0)
+    after[has] = model.counts[1][model.child[0][0][has]]
+    return model.counts[0][0], after
+
+
+def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each gram, of a shard's distinct grams in order with their training counts."""
+    symbol, oldest = keys & 511, lambda k: keys >> 9 * (ORDER + 1 - k) & 511
+    none, after = low
+    totals, kinds = {0: np.array([none.sum()]), 1: after.sum(axis=1)}, {0: np.array([(none > 0).sum()]), 1: (after > 0).sum(axis=1)}
+    known, times, names = {}, {}, {}
+    #: For a context of order k, what its symbols count in the context of order k - 1.
+    covered = {0: np.zeros(1), 1: ((after > 0) * none).sum(axis=1)}
+
+    def count(k: int, context: np.ndarray, s: np.ndarray) -> np.ndarray:
+        if k < 2:
+            return after[context, s] if k else none[s]
+        if not len(known[k]):
+            return np.zeros(len(s))
+        want = context << 9 | s
+        at = np.minimum(np.searchsorted(known[k], want), len(known[k]) - 1)
+        return np.where(known[k][at] == want, times[k][at], 0.0)
+
+    for k in range(2, ORDER + 1):
+        has = (counts > 0) & (oldest(k) != END)
+        known[k], of = np.unique(keys[has] >> 9 * (ORDER + 1 - k) << 9 | symbol[has], return_inverse=True)
+        times[k] = np.bincount(of, weights=counts[has], minlength=len(known[k]))
+        names[k], of = np.unique(known[k] >> 9, return_inverse=True)
+        totals[k], kinds[k] = np.bincount(of, weights=times[k]), np.bincount(of)
+        covered[k] = np.bincount(of, weights=count(k - 1, known[k] >> 18, known[k] & 511))
+
+    p, mass, left = np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys), dtype=bool)
+    gone_kinds, gone = np.zeros(len(keys)), np.zeros(len(keys))
+    for k in range(ORDER, -1, -1):
+        context = keys >> 9 * (ORDER + 1 - k)
+        if k < 2:
+            at = context if k else np.zeros(len(keys), dtype=np.int64)
+            there = totals[k][at] > 0
+        elif not len(names[k]):
+            continue
+        else:
+            at = np.minimum(np.searchsorted(names[k], context), len(names[k]) - 1)
+            there = names[k][at] == context
+        if k:
+            there &= oldest(k) != END
+        n, total, kind = count(k, context, symbol), totals[k][at] - gone, kinds[k][at]
+        under = np.where(kind < SYMBOLS, total + kind - gone_kinds, total)
+        hit = left & there & (n > 0)
+        p[hit] = mass[hit] * n[hit] / under[hit]
+        left &= ~hit
+        miss = left & there & (total > 0)
+        mass[miss] *= (kind - gone_kinds)[miss] / under[miss]
+        gone_kinds, gone = np.where(there, kind, gone_kinds), np.where(there, covered[k][at], 0.0)
+    p[left] = mass[left] / (SYMBOLS - kinds[0][0])
+    return np.log10(p)
+
+
+def count_grams(shard: int, names: list[int], blobs: list[bytes], low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A shard: the log probability of each gram of each batch."""
+    found, counts = [], []
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n = len(raw) // 12
+        found.append(np.cumsum(np.frombuffer(raw, dtype="<i8", count=n)))
+        counts.append(np.frombuffer(raw, dtype="<i4", offset=8 * n))
+    every, of = np.unique(np.concatenate(found), return_inverse=True)
+    logs = gram_logs(every, np.bincount(of, weights=np.concatenate(counts), minlength=len(every)), low).astype("<f4")
+    cuts = np.cumsum([len(x) for x in found])[:-1]
+    return _sums([(name, 0, zstandard.compress(logs[x].tobytes(), 1), shard) for name, x in zip(names, np.split(of, cuts), strict=True)])
+
+
+def batches_of(docs: DataFrame, shards: int) -> DataFrame:
     """Rows (shard, batch, blob) of ``docs(id, text, held_out)``.
 
     A batch of documents sends one blob to each shard: the distinct word hashes in order, the
     number of its documents that hold each, their places in the batch, and the uses in each.
+    To each shard from ``shards`` on it sends its distinct grams and their training counts.
     One more row, with a negative shard, has the documents themselves.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 texts = as_bytes(part.column("text"))
-                score = shared.value.score(texts)
                 distinct, flat, counts = interned([words(t) for t in texts])
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
                 order = np.argsort(hashes)
@@ -267,7 +358,8 @@ def word_batches(docs: DataFrame, model: Trie, shards: int) -> DataFrame:
                 word, doc = pair // n, pair % n
                 held = np.asarray(part.column("held_out").to_pylist(), dtype=np.uint8)
                 ids = part.column("id").to_pylist()
-                raw = np.array([x is None for x in ids], dtype=np.uint8).tobytes() + held.tobytes() + np.array([x or 0 for x in ids], dtype="<i8").tobytes() + counts.astype("<i8").tobytes() + score.astype("<f8").tobytes()
+                sizes = np.array([len(t) for t in texts], dtype="<i8")
+                raw = np.array([n], dtype="<i8").tobytes() + np.array([x is None for x in ids], dtype=np.uint8).tobytes() + held.tobytes() + np.array([x or 0 for x in ids], dtype="<i8").tobytes() + counts.astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts)
                 # The same whenever the task runs again; rows that are alike share no batch.
                 name = xxhash.xxh64_intdigest(raw) >> 1
                 rows = [(-1 - name % shards, name, raw)]
@@ -278,19 +370,31 @@ def word_batches(docs: DataFrame, model: Trie, shards: int) -> DataFrame:
                     a, b, x, y = cuts[s], cuts[s + 1], edge[s], edge[s + 1]
                     raw = np.array([b - a, y - x, n], dtype="<i8").tobytes() + hashes[a:b].astype("<u8").tobytes() + many[a:b].astype("<i4").tobytes() + doc[x:y].astype("<i4").tobytes() + uses[x:y].astype("<i4").tobytes() + held.tobytes()
                     rows.append((int(s), name, raw))
+                train = np.repeat(held == 0, sizes + 1)
+                key, uses = np.unique(grams(symbols(texts)) << 1 | train, return_counts=True)
+                new = np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1))
+                many = np.bincount(np.cumsum(new) - 1, weights=uses * (key & 1))
+                key = key[new] >> 1
+                shard = shard_of(key, shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)):
+                    x = order[cuts[s] : cuts[s + 1]]
+                    rows.append((int(s) + shards, name, np.diff(key[x], prepend=0).astype("<i8").tobytes() + many[x].astype("<i4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([zstandard.compress(r[2], 1) for r in rows], pa.binary())], names=["shard", "batch", "blob"])
 
     return docs.mapInArrow(run, "shard int, batch long, blob binary")
 
 
-_SUMS = "batch long, kinds long, blob binary, own boolean"
+#: ``part`` is the shard, or -1 for the documents themselves.
+_SUMS = "batch long, kinds long, blob binary, part int"
 
 
 def count_words(rows: pa.Table) -> pa.Table:
     """A shard: each word's training count, and what it adds to each document of each batch."""
     shard, names, blobs = rows.column("shard")[0].as_py(), rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
     if shard < 0:
-        return _sums([(n, 0, b, True) for n, b in zip(names, blobs, strict=True)])
+        return _sums([(n, 0, b, -1) for n, b in zip(names, blobs, strict=True)])
     hashes, words_of, docs_of, uses_of, held_of = [], [], [], [], []
     for blob in blobs:
         raw = zstandard.decompress(blob)
@@ -316,33 +420,39 @@ def count_words(rows: pa.Table) -> pa.Table:
         n = len(held_of[i])
         sums = np.bincount(docs_of[i], weights=uses_of[i] * logs[index[i]], minlength=n)
         known = np.bincount(docs_of[i], weights=uses_of[i] * (counts[index[i]] > 0), minlength=n).astype("<i8")
-        out.append((name, 0, zstandard.compress(sums.astype("<f8").tobytes() + known.tobytes(), 1), False))
-    return _sums([*out, (None, int((counts > 0).sum()), None, False)])
+        out.append((name, 0, zstandard.compress(sums.astype("<f8").tobytes() + known.tobytes(), 1), shard))
+    return _sums([*out, (None, int((counts > 0).sum()), None, shard)])
 
 
 def _sums(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["batch", "kinds", "blob", "own"])
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["batch", "kinds", "blob", "part"])
 
 
 _DOCS = "doc_id long, held_out boolean, n_words long, n_known long, log_sum double, score double"
 
 
-def add_shards(rows: pa.Table) -> pa.Table:
-    """A batch: its documents with the shards' sums."""
-    blobs, own = rows.column("blob").to_pylist(), rows.column("own").to_pylist()
-    # Batches that are alike in all of ids, sizes and scores share a name and their sums.
-    mine = [b for b, o in zip(blobs, own, strict=True) if o]
+def add_shards(rows: pa.Table, shards: int) -> pa.Table:
+    """A batch: its documents with what the shards found."""
+    blobs, parts = rows.column("blob").to_pylist(), rows.column("part").to_pylist()
+    # Batches that are alike share a name and their sums.
+    mine = [b for b, o in zip(blobs, parts, strict=True) if o < 0]
     raw = zstandard.decompress(mine[0])
-    n = len(raw) // 26
-    null, held = np.frombuffer(raw, dtype=np.uint8, count=n).astype(bool), np.frombuffer(raw, dtype=np.uint8, count=n, offset=n)
-    ids, counts = np.frombuffer(raw, dtype="<i8", count=n, offset=2 * n), np.frombuffer(raw, dtype="<i8", count=n, offset=10 * n)
-    score = np.frombuffer(raw, dtype="<f8", count=n, offset=18 * n)
+    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    null, held = np.frombuffer(raw, dtype=np.uint8, count=n, offset=8).astype(bool), np.frombuffer(raw, dtype=np.uint8, count=n, offset=8 + n)
+    ids, counts, sizes = np.frombuffer(raw, dtype="<i8", count=3 * n, offset=8 + 2 * n).reshape(3, n)
+    ends = np.cumsum(sizes) + 8 + 26 * n
+    text = symbols([raw[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)])
+    keys, of = np.unique(grams(text), return_inverse=True)
+    where, logs = shard_of(keys, shards), np.zeros(len(keys), dtype=np.float64)
     sums, known = np.zeros(n), np.zeros(n, dtype=np.int64)
-    for blob, o in zip(blobs, own, strict=True):
-        if not o:
+    for blob, o in zip(blobs, parts, strict=True):
+        if o >= shards:
+            logs[where == o - shards] = np.frombuffer(zstandard.decompress(blob), dtype="<f4")
+        elif o >= 0:
             got = zstandard.decompress(blob)
             sums += np.frombuffer(got, dtype="<f8", count=n)
             known += np.frombuffer(got, dtype="<i8", count=n, offset=8 * n)
+    score = np.diff(np.concatenate(([0.0], np.cumsum(logs[of])[text == END])))
     sums, known = sums / len(mine), known // len(mine)
     table_ = pa.table([pa.array(ids, mask=null), pa.array(held.astype(bool)), pa.array(counts), pa.array(known), pa.array(sums), pa.array(score)], names=["doc_id", "held_out", "n_words", "n_known", "log_sum", "score"])
     return pa.concat_tables([table_] * len(mine))
@@ -353,10 +463,17 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held=None) -
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (held_out(key, 7, 2) if held is None else held).alias("held_out"))
-    model = fit(rows.where("not held_out"))
-    sums = durable(word_batches(rows, model, shards).groupBy("shard").applyInArrow(count_words, _SUMS), "words")
+    low = low_orders(fit(rows.where("not held_out"), order=1))
+    shards = max(shards, int(low[0].sum()) >> 26)
+    shared = spark.sparkContext.broadcast(low)
+
+    def count(part: pa.Table) -> pa.Table:
+        shard = part.column("shard")[0].as_py()
+        return count_words(part) if shard < shards else count_grams(shard, part.column("batch").to_pylist(), part.column("blob").to_pylist(), shared.value)
+
+    sums = durable(batches_of(rows, shards).groupBy("shard").applyInArrow(count, _SUMS), "words")
     kinds = sums.agg(F.sum("kinds")).first()[0] or 0
-    out = durable(sums.where("batch is not null").groupBy("batch").applyInArrow(add_shards, _DOCS), "sums")
+    out = durable(sums.where("batch is not null").groupBy("batch").applyInArrow(lambda part: add_shards(part, shards), _DOCS), "sums")
     trained = out.where("not held_out").agg(F.count("*"), F.sum("n_words")).first()
     n_docs, n = trained[0], (trained[1] or 0) + trained[0]
     under = float(np.log10(n + kinds + (n_docs > 0) + 1))

@@ -346,6 +346,36 @@ def test_ppm_by_hand(spark):
         assert trie.score([b"x", t.encode()])[1] == pytest.approx(want, rel=1e-5)
 
 
+@needs_tables
+def test_ppm_keeps_every_context(spark):
+    got = {r.doc_id: r for r in ppm.op4_ppm_scoring(spark, SF).collect()}
+    texts = {r.doc_id: [*(r.text or "").encode(), ppm.END] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    after = {}
+    for i, t in texts.items():
+        if not got[i].held_out:
+            for at, s in enumerate(t):
+                for k in range(min(at, ppm.ORDER) + 1):
+                    after.setdefault(tuple(t[at - k : at]), Counter())[s] += 1
+    for i in sorted(texts, key=lambda i: (len(texts[i]), i))[::10]:
+        want, t = 0.0, texts[i][:3000]
+        if len(t) < len(texts[i]):
+            continue
+        for at, s in enumerate(t):
+            mass, gone = 1.0, set()
+            for k in range(min(at, ppm.ORDER), -1, -1):
+                row = {x: n for x, n in after.get(tuple(t[at - k : at]), {}).items() if x not in gone}
+                total = sum(row.values()) + (len(row) if ppm.SYMBOLS > len(gone) + len(row) else 0)
+                if s in row:
+                    mass *= row[s] / total
+                    break
+                mass *= len(row) / total if row else 1
+                gone |= set(row)
+            else:
+                mass /= ppm.SYMBOLS - len(gone)
+            want += math.log10(mass)
+        assert got[i].score == pytest.approx(want, rel=1e-5)
+
+
 def test_ppm_odd(odd, empty):
     got = ppm.score(clashing(odd)).collect()
     assert len(got) == len(ODD)
