@@ -249,6 +249,14 @@ def spatial_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.overlap_join(a.where(full("x")), b.where(full("y")), "x", "y", 5.0).select("a", "b")
 
 
+def spatial_overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boxes with all boxes."""
+    a = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("a"), F.col("b").alias("x"))
+    b = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("b"), F.col("b").alias("y"))
+    full = lambda c: F.col(c)[1]["hi"] >= F.col(c)[1]["lo"]
+    return spatial.overlap_join(a.where(full("x")), b.where(full("y")), "x", "y", 5.0).select("a", "b")
+
+
 def changeset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     new = old.where("s_suppkey % 10 <> 0").withColumn("s_nationkey", F.when(F.col("s_suppkey") % 7 == 0, F.lit(99)).otherwise(F.col("s_nationkey")))
@@ -294,6 +302,7 @@ PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "spatial_volume": (spatial_volume, "SELECT p_partkey, 3.0::DOUBLE * greatest(p_partkey % 7 - 1, 0) AS v FROM part"),
     "spatial_contains": (spatial_contains, "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size + 3 <= 30 AND p_partkey % 50 >= 5 AND p_partkey % 50 + p_partkey % 7 - 1 <= 40"),
     "spatial_overlap_join": (spatial_overlap_join, "WITH t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 50 AS y, p_partkey % 50 + p_partkey % 7 - 1 AS z FROM part WHERE p_partkey % 7 >= 1) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.k % 20 = 0 AND a.x <= b.x + 3 AND b.x <= a.x + 3 AND a.y <= b.z AND b.y <= a.z"),
+    "spatial_overlap_join_all": (spatial_overlap_join_all, "WITH t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 50 AS y, p_partkey % 50 + p_partkey % 7 - 1 AS z FROM part WHERE p_partkey % 7 >= 1) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.x <= b.x + 3 AND b.x <= a.x + 3 AND a.y <= b.z AND b.y <= a.z"),
     "changeset_diff": (changeset_diff, "SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'delete' ELSE 'update' END AS op, s_suppkey, s_nationkey AS old_s_nationkey, CASE WHEN s_suppkey % 10 <> 0 THEN 99 END AS new_s_nationkey FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 7 = 0"),
     "dml_update": (_after("UPDATE supplier SET s_acctbal = 0, s_name = s_name || '!' WHERE s_nationkey < 5", table="supplier"), "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_name || '!' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey < 5 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier"),
     "dml_delete": (_after("DELETE FROM orders WHERE o_orderstatus = 'F' OR o_custkey < 100", table="orders"), "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' OR o_custkey < 100)"),
