@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -24,6 +25,8 @@ SLICE_BYTES = 4 << 20
 
 #: Rows of whole texts that go to a Python worker at once; the engine's default would be some 10 MB and more.
 ROWS = 1_000
+#: And bytes; one row may have more.
+BYTES = str(8 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,6 +35,17 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > ROWS:
         spark.conf.set(name, str(ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+
+
+def settle() -> None:
+    """Give back to the system what the group before has left in this worker's pools."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,19 +7,18 @@ predicts it with all symbols excluded that longer ones have seen; below the empt
 remaining symbols are alike.  An end symbol closes each text, so the probabilities of all texts
 sum to 1.
 
-Every context of the training texts counts.  Contexts are dealt to shards by their last two
-symbols, so a shard has all longer forms of its contexts; those of fewer symbols are 257 * 258
-numbers, which are broadcast.  A batch of documents sends each shard its distinct contexts with
-the symbol that follows and their training counts; the shard adds all batches' counts and sends
-back each one's probability.
-
-The base score needs each word's count in the whole corpus.  Batches of documents send their
-distinct words' hashes with the documents that hold them, by range of the hash; each shard
-counts its words and sends back a sum for each document.
+Every context of the training texts counts.  Contexts are dealt to shards by their last three
+symbols, so a shard has all longer forms of its contexts; counts after contexts of fewer symbols
+are at most 257^3 numbers, which are broadcast.  A batch of documents sends each shard its
+distinct contexts with the symbol that follows and their training counts; the shard adds all
+batches' counts and sends back each one's probability.  The base score's word counts take the
+same way, by range of the words' hashes.
 
 Defined results: a null or empty text has one token, the end; without training texts every
-count is 0 and the model is uniform; a null id counts as training; rows that share an id are
-scored apart; other columns are not read.
+count is 0 and the model is uniform; an empty table gives no rows; a null id counts as training;
+rows that share an id, or repeat, are scored apart and alike; a very long text is one batch of
+its own, some 100 bytes of memory for each of its bytes; no result depends on an order, so ties
+do not matter; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, held_out, interned, slices, small_batches, table, words
+from .common import as_bytes, by_list, durable, held_out, interned, settle, slices, small_batches, table, words
 
 ORDER = 5
 END = 256
 SYMBOLS = 257
+#: Text of a batch of documents; training text for each shard.
+BATCH_BYTES = 2 << 20
+SHARD_BYTES = 3 << 20
 
 
 def symbols(texts: list[bytes]) -> np.ndarray:
@@ -256,23 +258,44 @@ def grams(text: np.ndarray) -> np.ndarray:
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two symbols of the context."""
-    last = (keys >> 9 * (ORDER - 1)).astype(np.uint64)
+    """By the last three symbols of the context."""
+    last = (keys >> 9 * (ORDER - 2)).astype(np.uint64)
     return ((last * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def low_orders(model: Trie) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of symbols, and of symbols after each symbol."""
+@dataclass
+class Low:
+    """Counts after contexts of no, one and two symbols: at most 257^3 numbers.
+
+    ``pairs`` has each two symbols and the one that follows, as ``grams`` packs them, in order.
+    """
+
+    none: np.ndarray
+    after: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def low_orders(model: Trie) -> Low:
+    """What a trie of order 2 has counted."""
     after = np.zeros((SYMBOLS, SYMBOLS))
     has = np.flatnonzero(model.child[0][0] >= 0)
     after[has] = model.counts[1][model.child[0][0][has]]
-    return model.counts[0][0], after
-
-
-def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    first = np.zeros(len(model.counts[1]), dtype=np.int64)
+    first[model.child[0][0][has]] = has
+    context, symbol = np.nonzero(model.child[1] >= 0)
+    names = np.zeros(len(model.counts[2]), dtype=np.int64)
+    names[model.child[1][context, symbol]] = symbol << 9 | first[context]
+    row, symbol = np.nonzero(model.counts[2])
+    pairs = names[row] << 9 | symbol
+    order = np.argsort(pairs)
+    return Low(model.counts[0][0], after, pairs[order], model.counts[2][row, symbol][order])
+
+
+def gram_logs(keys: np.ndarray, counts: np.ndarray, low: Low) -> np.ndarray:
     """log10 probability of each gram, of a shard's distinct grams in order with their training counts."""
     symbol, oldest = keys & 511, lambda k: keys >> 9 * (ORDER + 1 - k) & 511
-    none, after = low
+    none, after = low.none, low.after
     totals, kinds = {0: np.array([none.sum()]), 1: after.sum(axis=1)}, {0: np.array([(none > 0).sum()]), 1: (after > 0).sum(axis=1)}
     known, times, names = {}, {}, {}
     #: For a context of order k, what its symbols count in the context of order k - 1.
@@ -288,9 +311,12 @@ def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.nd
         return np.where(known[k][at] == want, times[k][at], 0.0)
 
     for k in range(2, ORDER + 1):
-        has = (counts > 0) & (oldest(k) != END)
-        known[k], of = np.unique(keys[has] >> 9 * (ORDER + 1 - k) << 9 | symbol[has], return_inverse=True)
-        times[k] = np.bincount(of, weights=counts[has], minlength=len(known[k]))
+        if k == 2:
+            known[k], times[k] = low.pairs, low.times
+        else:
+            has = (counts > 0) & (oldest(k) != END)
+            known[k], of = np.unique(keys[has] >> 9 * (ORDER + 1 - k) << 9 | symbol[has], return_inverse=True)
+            times[k] = np.bincount(of, weights=counts[has], minlength=len(known[k]))
         names[k], of = np.unique(known[k] >> 9, return_inverse=True)
         totals[k], kinds[k] = np.bincount(of, weights=times[k]), np.bincount(of)
         covered[k] = np.bincount(of, weights=count(k - 1, known[k] >> 18, known[k] & 511))
@@ -321,165 +347,197 @@ def gram_logs(keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.nd
     return np.log10(p)
 
 
-def count_grams(shard: int, names: list[int], blobs: list[bytes], low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """A shard: the log probability of each gram of each batch."""
-    found, counts = [], []
-    for blob in blobs:
-        raw = zstandard.decompress(blob)
-        n = len(raw) // 12
-        found.append(np.cumsum(np.frombuffer(raw, dtype="<i8", count=n)))
-        counts.append(np.frombuffer(raw, dtype="<i4", offset=8 * n))
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, which compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(raw: bytes, kind: str, count: int, at: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=width * count, offset=at).reshape(width, count).T).view(kind).ravel()
+
+
+def _request(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Distinct keys in order and their training counts in a batch."""
+    return zstandard.compress(_planes(np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8")) + _planes(counts.astype("<u4")), 1)
+
+
+def _requested(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n = len(raw) // 12
+    return np.cumsum(_unplanes(raw, "<u8", n), dtype=np.uint64), _unplanes(raw, "<u4", n, 8 * n)
+
+
+#: ``part`` is the shard of words, from the number of shards on that of grams, or -1 for the documents themselves.
+_ANSWER = "batch long, kinds long, blob binary, part int"
+
+
+def answer(rows: pa.Table, shards: int, low: Low) -> pa.Table:
+    """A shard: for each batch the training count of its words, or the log probability of its grams."""
+    shard, names = rows.column("shard")[0].as_py(), rows.column("batch").to_pylist()
+    found, counts = zip(*map(_requested, rows.column("blob").to_pylist()), strict=True)
+    sizes = [len(x) for x in found]
     every, of = np.unique(np.concatenate(found), return_inverse=True)
-    logs = gram_logs(every, np.bincount(of, weights=np.concatenate(counts), minlength=len(every)), low).astype("<f4")
-    cuts = np.cumsum([len(x) for x in found])[:-1]
-    return _sums([(name, 0, zstandard.compress(logs[x].tobytes(), 1), shard) for name, x in zip(names, np.split(of, cuts), strict=True)])
+    found = None
+    total = np.bincount(of, weights=np.concatenate(counts), minlength=len(every))
+    counts, kinds = None, 0
+    if shard < shards:
+        values, kinds = total.astype("<u8"), int((total > 0).sum())
+    else:
+        values = gram_logs(every.astype(np.int64), total, low).astype("<f4")
+    out, at = [], 0
+    for name, n in zip(names, sizes, strict=True):
+        out.append((name, 0, zstandard.compress(_planes(values[of[at : at + n]]), 1), shard))
+        at += n
+    if kinds:
+        out.append((-1 - shard, kinds, None, shard))
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["batch", "kinds", "blob", "part"])
 
 
-def batches_of(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, batch, blob) of ``docs(id, text, held_out)``.
+@dataclass
+class Batch:
+    """Some documents, as they travel."""
 
-    A batch of documents sends one blob to each shard: the distinct word hashes in order, the
-    number of its documents that hold each, their places in the batch, and the uses in each.
-    To each shard from ``shards`` on it sends its distinct grams and their training counts.
-    One more row, with a negative shard, has the documents themselves.
-    """
+    ids: list[int | None]
+    held: np.ndarray
+    texts: list[bytes]
+
+    def pack(self) -> bytes:
+        sizes = np.array([len(t) for t in self.texts], dtype="<i8")
+        null = np.array([x is None for x in self.ids], dtype=np.uint8)
+        ids = np.array([x or 0 for x in self.ids], dtype="<i8")
+        return np.array([len(sizes)], dtype="<i8").tobytes() + null.tobytes() + self.held.tobytes() + ids.tobytes() + sizes.tobytes() + b"".join(self.texts)
+
+    @staticmethod
+    def unpack(blob: bytes) -> Batch:
+        raw = zstandard.decompress(blob)
+        n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+        null, held = np.frombuffer(raw, dtype=np.uint8, count=2 * n, offset=8).reshape(2, n)
+        ids, sizes = np.frombuffer(raw, dtype="<i8", count=2 * n, offset=8 + 2 * n).reshape(2, n)
+        ends = (np.cumsum(sizes) + 8 + 18 * n).tolist()
+        return Batch([None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], held, [raw[b - a : b] for a, b in zip(sizes.tolist(), ends, strict=True)])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct word hashes in order, each word's place among them, and the words of each document."""
+        distinct, flat, counts = interned([words(t) for t in self.texts])
+        hashes, of = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct)), return_inverse=True)
+        return hashes, of[flat], counts
+
+    def asked(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        """(shard, blob) of its distinct words, then, from ``shards`` on, of its distinct grams."""
+        hashes, flat, counts = self.words()
+        train = np.repeat(self.held == 0, counts)
+        many = np.bincount(flat[train], minlength=len(hashes))
+        cuts = np.searchsorted(word_shard(hashes, shards), np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            yield int(s), _request(hashes[cuts[s] : cuts[s + 1]], many[cuts[s] : cuts[s + 1]])
+        sizes = np.array([len(t) + 1 for t in self.texts], dtype=np.int64)
+        key, uses = np.unique(grams(symbols(self.texts)) << 1 | np.repeat(self.held == 0, sizes), return_counts=True)
+        new = np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1))
+        many = np.bincount(np.cumsum(new) - 1, weights=uses * (key & 1))
+        key = key[new] >> 1
+        shard = shard_of(key, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            x = order[cuts[s] : cuts[s + 1]]
+            yield int(s) + shards, _request(key[x].astype(np.uint64), many[x])
+
+
+def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows (batch, blob) of ``docs(id, text, held_out)``: whole documents, some 2 MB of text together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                texts = as_bytes(part.column("text"))
-                distinct, flat, counts = interned([words(t) for t in texts])
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
-                order = np.argsort(hashes)
-                rank = np.empty(len(order), dtype=np.int64)
-                rank[order] = np.arange(len(order))
-                hashes, n = hashes[order], len(counts)
-                pair, uses = np.unique(rank[flat] * n + np.repeat(np.arange(n), counts), return_counts=True)
-                word, doc = pair // n, pair % n
-                held = np.asarray(part.column("held_out").to_pylist(), dtype=np.uint8)
-                ids = part.column("id").to_pylist()
-                sizes = np.array([len(t) for t in texts], dtype="<i8")
-                raw = np.array([n], dtype="<i8").tobytes() + np.array([x is None for x in ids], dtype=np.uint8).tobytes() + held.tobytes() + np.array([x or 0 for x in ids], dtype="<i8").tobytes() + counts.astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts)
-                # The same whenever the task runs again; rows that are alike share no batch.
-                name = xxhash.xxh64_intdigest(raw) >> 1
-                rows = [(-1 - name % shards, name, raw)]
-                shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                edge, many = np.searchsorted(word, cuts), np.bincount(word, minlength=len(hashes))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    a, b, x, y = cuts[s], cuts[s + 1], edge[s], edge[s + 1]
-                    raw = np.array([b - a, y - x, n], dtype="<i8").tobytes() + hashes[a:b].astype("<u8").tobytes() + many[a:b].astype("<i4").tobytes() + doc[x:y].astype("<i4").tobytes() + uses[x:y].astype("<i4").tobytes() + held.tobytes()
-                    rows.append((int(s), name, raw))
-                train = np.repeat(held == 0, sizes + 1)
-                key, uses = np.unique(grams(symbols(texts)) << 1 | train, return_counts=True)
-                new = np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1))
-                many = np.bincount(np.cumsum(new) - 1, weights=uses * (key & 1))
-                key = key[new] >> 1
-                shard = shard_of(key, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    x = order[cuts[s] : cuts[s + 1]]
-                    rows.append((int(s) + shards, name, np.diff(key[x], prepend=0).astype("<i8").tobytes() + many[x].astype("<i4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([zstandard.compress(r[2], 1) for r in rows], pa.binary())], names=["shard", "batch", "blob"])
-
-    return docs.mapInArrow(run, "shard int, batch long, blob binary")
-
-
-#: ``part`` is the shard, or -1 for the documents themselves.
-_SUMS = "batch long, kinds long, blob binary, part int"
-
-
-def count_words(rows: pa.Table) -> pa.Table:
-    """A shard: each word's training count, and what it adds to each document of each batch."""
-    shard, names, blobs = rows.column("shard")[0].as_py(), rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
-    if shard < 0:
-        return _sums([(n, 0, b, -1) for n, b in zip(names, blobs, strict=True)])
-    hashes, words_of, docs_of, uses_of, held_of = [], [], [], [], []
-    for blob in blobs:
-        raw = zstandard.decompress(blob)
-        u, p, n = np.frombuffer(raw, dtype="<i8", count=3)
-        at, got = 24, []
-        for count, kind in ((u, "<u8"), (u, "<i4"), (p, "<i4"), (p, "<i4"), (n, np.uint8)):
-            got.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
-            at += got[-1].nbytes
-        hashes.append(got[0])
-        words_of.append(got[1])
-        docs_of.append(got[2])
-        uses_of.append(got[3])
-        held_of.append(got[4])
-    every, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    counts, index, at = np.zeros(len(every)), [], 0
-    for i in range(len(blobs)):
-        mine = np.repeat(of[at : at + len(hashes[i])], words_of[i])
-        at += len(hashes[i])
-        index.append(mine)
-        counts += np.bincount(mine, weights=uses_of[i] * (held_of[i][docs_of[i]] == 0), minlength=len(every))
-    logs, out = np.log10(counts + 1), []
-    for i, name in enumerate(names):
-        n = len(held_of[i])
-        sums = np.bincount(docs_of[i], weights=uses_of[i] * logs[index[i]], minlength=n)
-        known = np.bincount(docs_of[i], weights=uses_of[i] * (counts[index[i]] > 0), minlength=n).astype("<i8")
-        out.append((name, 0, zstandard.compress(sums.astype("<f8").tobytes() + known.tobytes(), 1), shard))
-    return _sums([*out, (None, int((counts > 0).sum()), None, shard)])
-
-
-def _sums(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32()))], names=["batch", "kinds", "blob", "part"])
-
-
-_DOCS = "doc_id long, held_out boolean, n_words long, n_known long, log_sum double, score double"
+            for part in slices(batch, "text", BATCH_BYTES):
+                raw = Batch(part.column("id").to_pylist(), np.asarray(part.column("held_out").to_pylist(), dtype=np.uint8), as_bytes(part.column("text"))).pack()
+                # Named by content; batches that are alike ask and get the same.
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(raw) >> 1], pa.int64()), pa.array([zstandard.compress(raw, 1)], pa.binary())], names=["batch", "blob"])
+
+    return docs.mapInArrow(run, "batch long, blob binary")
+
+
+def requests(batches_: DataFrame, shards: int) -> DataFrame:
+    """Rows (shard, batch, blob): what each batch asks of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name, blob in zip(rows.column("batch").to_pylist(), rows.column("blob"), strict=True):
+                out = list(Batch.unpack(blob.as_py()).asked(shards))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([name] * len(out), pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["shard", "batch", "blob"])
+
+    return batches_.mapInArrow(run, "shard int, batch long, blob binary")
+
+
+_DOCS = "doc_id long, held_out boolean, n_words long, n_known long, log_sum double, score double, kinds long"
 
 
 def add_shards(rows: pa.Table, shards: int) -> pa.Table:
-    """A batch: its documents with what the shards found."""
-    blobs, parts = rows.column("blob").to_pylist(), rows.column("part").to_pylist()
-    # Batches that are alike share a name and their sums.
-    mine = [b for b, o in zip(blobs, parts, strict=True) if o < 0]
-    raw = zstandard.decompress(mine[0])
-    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    null, held = np.frombuffer(raw, dtype=np.uint8, count=n, offset=8).astype(bool), np.frombuffer(raw, dtype=np.uint8, count=n, offset=8 + n)
-    ids, counts, sizes = np.frombuffer(raw, dtype="<i8", count=3 * n, offset=8 + 2 * n).reshape(3, n)
-    ends = np.cumsum(sizes) + 8 + 26 * n
-    text = symbols([raw[b - a : b] for a, b in zip(sizes.tolist(), ends.tolist(), strict=True)])
+    """A batch: its documents with what the shards answered; or a shard's number of distinct training words."""
+    settle()
+    blobs, parts = rows.column("blob"), rows.column("part").to_pylist()
+    mine = [i for i, o in enumerate(parts) if o < 0]
+    if not mine:
+        none = [None] * rows.num_rows
+        values = [none] * 6 + [rows.column("kinds").to_pylist()]
+        return pa.table([pa.array(x, t) for x, t in zip(values, _KINDS, strict=True)], names=_NAMES)
+    batch = Batch.unpack(blobs[mine[0]].as_py())
+    # Batches that are alike share a name and each answer comes once for each of them.
+    got = {o: i for i, o in enumerate(parts) if o >= 0}
+    hashes, flat, counts = batch.words()
+    cuts = np.searchsorted(word_shard(hashes, shards), np.arange(shards + 1))
+    times = np.zeros(len(hashes))
+    for s in np.flatnonzero(np.diff(cuts)):
+        times[cuts[s] : cuts[s + 1]] = _unplanes(zstandard.decompress(blobs[got[int(s)]].as_py()), "<u8", int(cuts[s + 1] - cuts[s]))
+    sums = by_list(np.log10(times + 1)[flat], counts)
+    known = by_list((times > 0)[flat], counts).astype(np.int64)
+    text = symbols(batch.texts)
     keys, of = np.unique(grams(text), return_inverse=True)
-    where, logs = shard_of(keys, shards), np.zeros(len(keys), dtype=np.float64)
-    sums, known = np.zeros(n), np.zeros(n, dtype=np.int64)
-    for blob, o in zip(blobs, parts, strict=True):
-        if o >= shards:
-            logs[where == o - shards] = np.frombuffer(zstandard.decompress(blob), dtype="<f4")
-        elif o >= 0:
-            got = zstandard.decompress(blob)
-            sums += np.frombuffer(got, dtype="<f8", count=n)
-            known += np.frombuffer(got, dtype="<i8", count=n, offset=8 * n)
-    score = np.diff(np.concatenate(([0.0], np.cumsum(logs[of])[text == END])))
-    sums, known = sums / len(mine), known // len(mine)
-    table_ = pa.table([pa.array(ids, mask=null), pa.array(held.astype(bool)), pa.array(counts), pa.array(known), pa.array(sums), pa.array(score)], names=["doc_id", "held_out", "n_words", "n_known", "log_sum", "score"])
-    return pa.concat_tables([table_] * len(mine))
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    logs = np.zeros(len(keys))
+    for s in np.flatnonzero(np.diff(cuts)):
+        logs[order[cuts[s] : cuts[s + 1]]] = _unplanes(zstandard.decompress(blobs[got[int(s) + shards]].as_py()), "<f4", int(cuts[s + 1] - cuts[s]))
+    score_ = np.diff(np.concatenate(([0.0], np.cumsum(logs[of])[text == END])))
+    values = [batch.ids, batch.held.astype(bool), counts, known, sums, score_, [0] * len(counts)]
+    one = pa.table([pa.array(x, t) for x, t in zip(values, _KINDS, strict=True)], names=_NAMES)
+    return pa.concat_tables([one] * len(mine))
+
+
+_NAMES = [x.split()[0] for x in _DOCS.split(", ")]
+_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", held=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (held_out(key, 7, 2) if held is None else held).alias("held_out"))
-    low = low_orders(fit(rows.where("not held_out"), order=1))
-    shards = max(shards, int(low[0].sum()) >> 26)
+    low = low_orders(fit(rows.where("not held_out"), order=2))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(low.none.sum()) // SHARD_BYTES)
     shared = spark.sparkContext.broadcast(low)
 
-    def count(part: pa.Table) -> pa.Table:
-        shard = part.column("shard")[0].as_py()
-        return count_words(part) if shard < shards else count_grams(shard, part.column("batch").to_pylist(), part.column("blob").to_pylist(), shared.value)
-
-    sums = durable(batches_of(rows, shards).groupBy("shard").applyInArrow(count, _SUMS), "words")
-    kinds = sums.agg(F.sum("kinds")).first()[0] or 0
-    out = durable(sums.where("batch is not null").groupBy("batch").applyInArrow(lambda part: add_shards(part, shards), _DOCS), "sums")
-    trained = out.where("not held_out").agg(F.count("*"), F.sum("n_words")).first()
-    n_docs, n = trained[0], (trained[1] or 0) + trained[0]
+    def run(part: pa.Table) -> pa.Table:
+        settle()
+        return answer(part, shards, shared.value)
+
+    whole = durable(packed(rows), "batches")
+    answers = requests(whole, shards).groupBy("shard").applyInArrow(run, _ANSWER)
+    both = answers.unionByName(whole.select("batch", F.lit(0).cast("long").alias("kinds"), "blob", F.lit(-1).alias("part")))
+    out = durable(both.groupBy("batch").applyInArrow(lambda part: add_shards(part, shards), _DOCS), "sums")
+    trained = F.col("held_out") == F.lit(False)
+    sums = out.agg(F.sum("kinds"), F.count(F.when(trained, 1)), F.sum(F.when(trained, F.col("n_words")))).first()
+    kinds, n_docs = sums[0] or 0, sums[1]
+    n = (sums[2] or 0) + n_docs
     under = float(np.log10(n + kinds + (n_docs > 0) + 1))
     end = float(np.log10(n_docs + 1))
     tokens = F.col("n_words") + 1
-    return out.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + (1 if n_docs else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("log_sum") + F.lit(end) - tokens * F.lit(under)).alias("base_score"), "score")
+    return out.where("n_words is not null").select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + (1 if n_docs else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("log_sum") + F.lit(end) - tokens * F.lit(under)).alias("base_score"), "score")
 
 
 def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
