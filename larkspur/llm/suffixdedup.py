@@ -4,29 +4,33 @@ All strings of ``LENGTH`` bytes (windows) of all documents are covered, as follo
 
 1. Every window has an anchor: the least hash of the 20-byte strings in it.  Equal windows have
    equal anchors, and neighbouring windows mostly share one; such a run of windows is a segment.
-2. Each part of the documents sends its distinct anchors, by range of the hash, to shards, which
-   answer with one bit for each: does another document have it too?
-3. The segments of such anchors go to the shards, with their bytes.  A shard holds every place
-   of every repeated window that it is responsible for.
+2. Each part of the documents (some ``PART_BYTES`` of text) sends its distinct anchors, by range
+   of the hash, to shards, which answer with one bit for each: does another document have it too?
+3. The distinct segments of such anchors go to the shards, with their bytes and the least and
+   greatest id that has them in the part, so a shard's load does not depend on how often a
+   segment occurs.
 4. A shard sorts the suffixes of its distinct segments by prefix doubling, takes the common
-   prefixes of neighbours, and scans them with a stack: every interval of the tree is a repeat
-   with all its places.  An interval whose places can all be extended by one same byte to the
-   left is a part of another repeat and is dropped before the scan.
-5. The repeats' places go back to the documents' parts.
+   prefixes of neighbours, and scans them with a stack: every interval of the tree is a repeat.
+   An interval whose places can all be extended by one same byte to the left is a part of
+   another repeat and is dropped before the scan.
+5. The repeats go back to the parts, with the least id of each; a part has the places.
 
 Segments bound a repeat in a shard, so a long repeat is a chain of overlapping ones.  Where all
-segments of an anchor are equal, they are the one repeat and need no sorting.
+segments of an anchor are equal, they are the one repeat (a leaf of the tree) and need no sorting.
 
 Defined results: a null text is empty; a document with a null id takes no part; rows that share
-an id are one document, so none of them removes from another; an empty table gives no rows;
-texts of under ``LENGTH`` bytes lose nothing; other columns are not read.
+an id are one document, so none of them removes from another, and each row loses what a smaller
+id has of its own text; repeated rows get repeated results; texts that tie (equal bytes) are told
+apart by id alone; an empty table gives no rows; texts of under ``LENGTH`` bytes lose nothing; a
+very long text is hashed in pieces but stays in one part; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, settle, small_batches, table
 
 LENGTH = 50
 ANCHOR = 20
@@ -45,8 +49,10 @@ DEPTH = RUN + LENGTH - 1
 PIECE = 1 << 20
 #: Bytes of segments sorted at once, but for the segments of one anchor, which stay together.
 SORTED = 1 << 19
+#: Text of a part of the documents, on average.
+PART_BYTES = 6 << 20
 #: Shards for each part of the documents; a shard is the larger in memory.
-SHARDS = 8
+SHARDS = 4
 #: Bytes of an anchor that are compared in step 2; a chance hit only costs time.
 KEY_BYTES = 6
 
@@ -156,26 +162,47 @@ class Part:
         """For each shard its segments here, their distinct keys, and each segment's key."""
         shard = _shard(self.anchor, shards)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            rows = order[cuts[s] : cuts[s + 1]]
-            if len(rows):
-                keys, of = np.unique(self.anchor[rows] & _MASK, return_inverse=True)
-                yield s, rows, keys, of
-
-
-def _settle() -> None:
-    """Give back to the system what the group before has left in this worker's pools."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
+        for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+            keys, of = np.unique(self.anchor[rows] & _MASK, return_inverse=True)
+            yield int(shard[rows[0]]), rows, keys, of
+
+    def contents(self, rows: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The distinct bytes of some segments, and each one's place among them."""
+        index: dict[bytes, int] = {}
+        of = np.zeros(len(rows), dtype=np.int32)
+        for i, (t, a, n) in enumerate(zip(self.text[rows].tolist(), self.start[rows].tolist(), self.runs[rows].tolist(), strict=True)):
+            of[i] = index.setdefault(self.texts[t][a : a + n + LENGTH - 1], len(index))
+        return list(index), of
+
+    def places(self, spans: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(spans, segments): which segments here have the content of which of ``spans``, in batches.
+
+        A span names its content by the first segment that has it.
+        """
+        heads, of = np.unique(spans[0], return_inverse=True)
+        mine = np.flatnonzero(np.isin(self.anchor, self.anchor[heads]))
+        _, content = self.contents(mine)
+        order = np.argsort(content, kind="stable")
+        first = np.searchsorted(content[order], np.arange(int(content.max(initial=-1)) + 2))
+        wanted = content[np.searchsorted(mine, heads)][of]
+        many = first[wanted + 1] - first[wanted]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(many):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACES, side="right")))
+            row = np.repeat(np.arange(at, to), many[at:to])
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])
+            yield row, mine[order[first[wanted[row]] + shift]]
+            at = to
+
+
+#: Places that are worked on at once.
+PLACES = 1 << 18
 
 
 def _ask(shards: int):
     def run(rows: pa.Table) -> pa.Table:
-        _settle()
+        settle()
         part, out = rows.column("part")[0].as_py(), []
         docs = Part(rows)
         for s, mine, keys, of in docs.asked(shards):
@@ -210,7 +237,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 def _send(shards: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        _settle()
+        settle()
         out = []
         if rows.num_rows and answers.num_rows:
             part, docs = rows.column("part")[0].as_py(), Part(rows)
@@ -219,17 +246,14 @@ def _send(shards: int):
                 if s not in bits:
                     continue
                 mine = mine[np.unpackbits(np.frombuffer(bits[s], dtype=np.uint8), count=len(keys)).astype(bool)[of]]
-                index: dict[bytes, int] = {}
-                first, seg = [], np.zeros(len(mine), dtype=np.int32)
-                for i, r in enumerate(mine.tolist()):
-                    a = int(docs.start[r])
-                    content = docs.texts[docs.text[r]][a : a + int(docs.runs[r]) + LENGTH - 1]
-                    n = index.setdefault(content, len(index))
-                    if n == len(first):
-                        first.append(r)
-                    seg[i] = n
-                head = np.array([len(first), len(mine)], dtype="<i8").tobytes()
-                raw = head + docs.anchor[first].astype("<u8").tobytes() + docs.runs[first].astype(np.uint8).tobytes() + seg.tobytes() + docs.ids[docs.text[mine]].astype("<i8").tobytes() + docs.start[mine].astype("<i8").tobytes() + b"".join(index)
+                contents, seg = docs.contents(mine)
+                ids = docs.ids[docs.text[mine]]
+                low, high = np.full(len(contents), np.iinfo(np.int64).max), np.full(len(contents), np.iinfo(np.int64).min)
+                np.minimum.at(low, seg, ids)
+                np.maximum.at(high, seg, ids)
+                first = mine[np.unique(seg, return_index=True)[1]]
+                head = np.array([len(first)], dtype="<i8").tobytes()
+                raw = head + docs.anchor[first].astype("<u8").tobytes() + low.astype("<i8").tobytes() + high.astype("<i8").tobytes() + first.astype("<i4").tobytes() + docs.runs[first].astype(np.uint8).tobytes() + b"".join(contents)
                 out.append((s, part, zstandard.compress(raw, 1)))
         return _table(out, ["shard", "part", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 
@@ -237,13 +261,14 @@ def _send(shards: int):
 
 
 def _opened(blob: bytes) -> tuple:
+    """(anchor, least id, greatest id, first segment, windows) of each content, and the contents."""
     raw = zstandard.decompress(blob)
-    k, m = np.frombuffer(raw, dtype="<i8", count=2)
-    at, out = 16, []
-    for count, kind in ((k, "<u8"), (k, np.uint8), (m, "<i4"), (m, "<i8"), (m, "<i8")):
-        out.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+    k = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    at, out = 8, []
+    for kind in ("<u8", "<i8", "<i8", "<i4", np.uint8):
+        out.append(np.frombuffer(raw, dtype=kind, count=k, offset=at))
         at += out[-1].nbytes
-    ends = at + np.cumsum(out[1].astype(np.int64) + LENGTH - 1)
+    ends = at + np.cumsum(out[-1].astype(np.int64) + LENGTH - 1)
     contents = [raw[a:b] for a, b in zip([at, *ends[:-1].tolist()], ends.tolist(), strict=True)] if k else []
     return *out, contents
 
@@ -363,117 +388,164 @@ def _batches(segments_: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> Ite
         at = int(to)
 
 
-Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+@dataclass
+class Members:
+    """Of some repeats, every content of a part that has it."""
 
+    repeat: np.ndarray
+    length: np.ndarray
+    #: Place of the repeat in the content.
+    shift: np.ndarray
+    #: Which blob, and the first segment with the content there.
+    origin: np.ndarray
+    first: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-def shard_repeats(blobs: list[bytes]) -> Iterator[Places]:
-    """(repeat, length, id, first byte, part of ``blobs``) of every place of every repeat of a shard, in batches."""
+
+def shard_repeats(blobs: list[bytes]) -> Iterator[Members]:
+    """Every repeat of a shard, in batches that split none."""
     index: dict[bytes, int] = {}
-    anchors: list[int] = []
-    segs, ids, starts, origin = [], [], [], []
+    anchors: list[np.ndarray] = []
+    of_, low_, high_, first_, origin_ = [], [], [], [], []
     for o, blob in enumerate(blobs):
-        anchor, _, seg, id_, start, contents = _opened(blob)
-        here = np.zeros(len(contents), dtype=np.int32)
-        for j, content in enumerate(contents):
-            k = index.setdefault(content, len(index))
-            if k == len(anchors):
-                anchors.append(int(anchor[j]))
-            here[j] = k
-        segs.append(here[seg])
-        ids.append(id_)
-        starts.append(start)
-        origin.append(np.full(len(seg), o, dtype=np.int32))
+        anchor, low, high, head, _, contents = _opened(blob)
+        known = len(index)
+        here = np.fromiter((index.setdefault(c, len(index)) for c in contents), dtype=np.int32, count=len(contents))
+        anchors.append(anchor[here >= known])  # contents of one blob are distinct
+        of_.append(here)
+        low_.append(low)
+        high_.append(high)
+        first_.append(head)
+        origin_.append(np.full(len(here), o, dtype=np.int32))
     contents = list(index)
     del index
-    seg, id_, start, origin_ = (np.concatenate(x) for x in (segs, ids, starts, origin))
-    del segs, ids, starts, origin
+    seg, low, high, head, origin = (np.concatenate(x) for x in (of_, low_, high_, first_, origin_))
+    del of_, low_, high_, first_, origin_
     order = np.argsort(seg, kind="stable")
     first = np.searchsorted(seg[order], np.arange(len(contents) + 1))
-    id_, start, origin_ = id_[order], start[order], origin_[order]
+    low, high, head, origin = low[order], high[order], head[order], origin[order]
     size = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
-    _, of, times = np.unique(np.array(anchors, dtype=np.uint64), return_inverse=True, return_counts=True)
+    _, of, times = np.unique(np.concatenate(anchors), return_inverse=True, return_counts=True)
     alone = times[of] == 1
     done = 0
 
-    def places(length: np.ndarray, count: np.ndarray, where: np.ndarray, shift: np.ndarray) -> Places:
-        """Of repeats with ``count`` segments each, the places of those segments."""
+    def members(length: np.ndarray, count: np.ndarray, where: np.ndarray, shift: np.ndarray) -> Members:
+        """Of repeats in ``count`` distinct contents each, all that have those contents."""
         nonlocal done
         many = first[where + 1] - first[where]
         row = np.repeat(np.arange(len(where)), many)
         at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[where[row]]
         repeat = np.repeat(np.arange(len(count)), count)[row]
-        out = repeat + done, length[repeat], id_[at], start[at] + shift[row], origin_[at]
+        out = Members(repeat + done, length[repeat], shift[row], origin[at], head[at], low[at], high[at])
         done += len(count)
         return out
 
-    # A segment that several documents have is a repeat, whatever overlaps it.
-    whole = np.flatnonzero(np.diff(first) > 1)
+    # A content that several documents have is a repeat, whatever overlaps it.
+    whole = np.flatnonzero(np.minimum.reduceat(low, first[:-1]) < np.maximum.reduceat(high, first[:-1])) if len(contents) else np.zeros(0, dtype=np.int64)
     for at in range(0, len(whole), 4_000):
         some = whole[at : at + 4_000]
-        yield places(size[some], np.ones(len(some), dtype=np.int64), some, np.zeros(len(some), dtype=np.int64))
+        yield members(size[some], np.ones(len(some), dtype=np.int64), some, np.zeros(len(some), dtype=np.int64))
     mixed = np.flatnonzero(~alone)
     mixed = mixed[np.argsort(of[mixed], kind="stable")]
     for some in _batches(mixed, of[mixed], size[mixed]):
         array = SuffixArray([contents[s] for s in some])
         found = np.array(list(array.maximal()), dtype=np.int64).reshape(-1, 3)
-        if len(found):
-            count = found[:, 2] - found[:, 1] + 1
-            at = np.repeat(found[:, 1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            yield places(found[:, 0], count, some[array.segment[at]], array.offset[at])
+        count = found[:, 2] - found[:, 1] + 1
+        # Some repeats at a time: nested ones name the same places again.
+        for rows in np.split(np.arange(len(found)), np.flatnonzero(np.diff(np.cumsum(count) // PLACES)) + 1) if len(found) else []:
+            n = count[rows]
+            at = np.repeat(found[rows, 1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield members(found[rows, 0], n, some[array.segment[at]], array.offset[at])
+
+
+def _returned(origin: np.ndarray, spans: np.ndarray, parts: list[int], kind: str) -> list[tuple]:
+    """(part, blob) of ``spans``, a column for each, by origin."""
+    order = np.argsort(origin, kind="stable")
+    cuts = np.searchsorted(origin[order], np.arange(len(parts) + 1))
+    return [(p, zstandard.compress(np.ascontiguousarray(spans[:, order[a:b]]).astype(kind).tobytes(), 1)) for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def _find(rows: pa.Table) -> pa.Table:
-    """Of each repeat, the places in all documents but that with the smallest id, for each part."""
-    _settle()
+    """For each part, (first segment, shift, length, least id) of the repeats that a greater id has there."""
+    settle()
     parts = rows.column("part").to_pylist()
     kept: list[np.ndarray] = []
-    for repeat, length, id_, start, origin in shard_repeats(rows.column("blob").to_pylist()):
-        if not len(repeat):
-            continue
-        repeat = repeat - repeat[0]
+    for m in shard_repeats(rows.column("blob").to_pylist()):
+        repeat = m.repeat - m.repeat[0]
         least = np.full(int(repeat.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, repeat, id_)
-        gone = np.flatnonzero(id_ > least[repeat])
-        kept.append(_longest(np.stack([origin[gone].astype(np.int64), id_[gone], start[gone], length[gone]])))
-    spans = _longest(np.concatenate(kept, axis=1)) if kept else np.zeros((4, 0), dtype=np.int64)
-    cuts, out = np.searchsorted(spans[0], np.arange(len(parts) + 1)), []
-    for o, part in enumerate(parts):
-        mine = spans[1:, cuts[o] : cuts[o + 1]]
-        if mine.shape[1]:
-            out.append((part, zstandard.compress(np.ascontiguousarray(mine).astype("<i8").tobytes(), 1)))
+        np.minimum.at(least, repeat, m.low)
+        least = least[repeat]
+        gone = np.flatnonzero(m.high > least)
+        kept.append(_longest(np.stack([m.origin[gone].astype(np.int64), m.first[gone], m.shift[gone], m.length[gone], least[gone]])))
+    spans = _longest(np.concatenate(kept, axis=1)) if kept else np.zeros((5, 0), dtype=np.int64)
+    return _table(_returned(spans[0], spans[1:], parts, "<i8"), ["part", "blob"], [pa.int32(), pa.binary()])
+
+
+def _name(rows: pa.Table) -> pa.Table:
+    """For each part, (first segment, shift, length, shard, repeat) of all repeats."""
+    settle()
+    parts, shard = rows.column("part").to_pylist(), rows.column("shard")[0].as_py()
+    out = []
+    for m in shard_repeats(rows.column("blob").to_pylist()):
+        out += _returned(m.origin, np.stack([m.first.astype(np.int64), m.shift, m.length, np.full(len(m.repeat), shard), m.repeat]), parts, "<i8")
     return _table(out, ["part", "blob"], [pa.int32(), pa.binary()])
 
 
+def _all_spans(spans: pa.Table, width: int) -> np.ndarray:
+    got = [np.frombuffer(zstandard.decompress(x), dtype="<i8").reshape(width, -1) for x in spans.column("blob").to_pylist()]
+    return np.concatenate(got, axis=1) if got else np.zeros((width, 0), dtype=np.int64)
+
+
+def _place(rows: pa.Table, spans: pa.Table) -> pa.Table:
+    """(shard, repeat, length, id, start) of every place in a part."""
+    settle()
+    out, types = [], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    if rows.num_rows and spans.num_rows:
+        docs, got = Part(rows), _all_spans(spans, 5)
+        for span, seg in docs.places(got):
+            out.append(np.stack([got[3, span], got[4, span], got[2, span], docs.ids[docs.text[seg]], docs.start[seg] + got[1, span]]))
+    flat = np.concatenate(out, axis=1) if out else np.zeros((5, 0), dtype=np.int64)
+    return pa.table([pa.array(x, pa.int64()).cast(t) for x, t in zip(flat, types, strict=True)], names=["shard", "repeat", "length", "id", "start"])
+
+
 def _longest(spans: np.ndarray) -> np.ndarray:
-    """(part, id, start, length) in order, with the longest of each start, without those inside the one before."""
-    spans = spans[:, np.lexsort((-spans[3], spans[2], spans[1], spans[0]))]
+    """(origin, first, shift, length, least id) in order, without those inside the one before that has no greater id."""
+    spans = spans[:, np.lexsort((spans[4], -spans[3], spans[2], spans[1], spans[0]))]
     if spans.shape[1] < 2:
         return spans
     ends = spans[2] + spans[3]
-    inside = (spans[0, 1:] == spans[0, :-1]) & (spans[1, 1:] == spans[1, :-1]) & (ends[1:] <= ends[:-1])
+    inside = (spans[0, 1:] == spans[0, :-1]) & (spans[1, 1:] == spans[1, :-1]) & (ends[1:] <= ends[:-1]) & (spans[4, 1:] >= spans[4, :-1])
     return spans[:, np.concatenate(([True], ~inside))]
 
 
 def _cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
     """Each document without the bytes of its spans."""
-    _settle()
-    ids = rows.column("id").to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
-    got = [np.frombuffer(zstandard.decompress(x), dtype="<i8").reshape(3, -1) for x in spans.column("blob").to_pylist()]
-    at = np.concatenate(got, axis=1) if got else np.zeros((3, 0), dtype=np.int64)
-    at = at[:, np.argsort(at[0], kind="stable")]
-    low, high = np.searchsorted(at[0], ids, side="left"), np.searchsorted(at[0], ids, side="right")
-    out = []
-    for i, text in enumerate(as_bytes(rows.column("text").combine_chunks()) if rows.num_rows else []):
-        n = len(text)
-        if low[i] == high[i]:
-            out.append((int(ids[i]), n, 0, 0, text))
-            continue
-        a, b = at[1, low[i] : high[i]], at[1, low[i] : high[i]] + at[2, low[i] : high[i]]
-        fits = b <= n  # rows that share an id may differ in their texts
-        change = np.bincount(a[fits], minlength=n + 1) - np.bincount(b[fits], minlength=n + 1)
-        gone = np.cumsum(change)[:n] > 0
-        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
-        out.append((int(ids[i]), n, int(gone.sum()), runs, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()))
+    settle()
+    out: list[tuple] = []
+    if rows.num_rows:
+        docs = Part(rows)
+        sizes = np.array([len(t) for t in docs.texts], dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes
+        # Where spans begin less where they end, over all texts of the part; one more place for each text's end.
+        change = np.zeros(int(sizes.sum()) + len(sizes) + 1, dtype=np.int32)
+        got = _all_spans(spans, 4)
+        if got.shape[1]:
+            for span, seg in docs.places(got):
+                text = docs.text[seg]
+                gone = docs.ids[text] > got[3, span]
+                start = (begin[text] + text + docs.start[seg] + got[1, span])[gone]
+                np.add.at(change, start, 1)
+                np.add.at(change, start + got[2, span][gone], -1)
+        for i, text in enumerate(docs.texts):
+            n, at = len(text), int(begin[i]) + i
+            mine = change[at : at + n + 1]
+            if not mine.any():
+                out.append((int(docs.ids[i]), n, 0, 0, text))
+                continue
+            gone = np.cumsum(mine)[:n] > 0
+            runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            out.append((int(docs.ids[i]), n, int(gone.sum()), runs, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()))
     return _table(out, ["id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
 
@@ -487,29 +559,25 @@ class Dedup:
     """The operator's tables over one table of documents; all are lazy."""
 
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", parts: int | None = None) -> None:
-        n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small_batches(docs.sparkSession)
         rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+        n = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
         self.loose = rows.where("id is null")
-        self.docs = rows.where("id is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "part")
+        # By text too, so that rows that share an id spread.
+        self.docs = rows.where("id is not null").withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "part")
         asked = self.docs.groupBy("part").applyInArrow(_ask(SHARDS * n), "shard int, part int, keys binary, many binary").repartition(n, "shard")
         self.answers = asked.groupBy("shard").applyInArrow(_answer, "part int, shard int, bits binary")
         self.sent = self.docs.groupBy("part").cogroup(self.answers.groupBy("part")).applyInArrow(_send(SHARDS * n), "shard int, part int, blob binary").repartition(n, "shard")
 
+    def places(self) -> DataFrame:
+        """(shard, repeat, length, id, start): every place of every repeat; (shard, repeat) names a repeat."""
+        named = self.sent.groupBy("shard").applyInArrow(_name, "part int, blob binary")
+        return self.docs.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(_place, "shard int, repeat long, length long, id long, start long")
+
     def repeats(self) -> DataFrame:
-        """(shard, repeat, length, places): every repeat with all its places (id, start)."""
-
-        def run(rows: pa.Table) -> pa.Table:
-            shard = rows.column("shard")[0].as_py()
-            out = []
-            for repeat, length, id_, start, _ in shard_repeats(rows.column("blob").to_pylist()):
-                order = np.argsort(repeat, kind="stable")
-                for r in np.split(order, np.flatnonzero(np.diff(repeat[order])) + 1) if len(repeat) else []:
-                    places = sorted(set(zip(id_[r].tolist(), start[r].tolist(), strict=True)))
-                    out.append((shard, int(repeat[r[0]]), int(length[r[0]]), [{"id": i, "start": s} for i, s in places]))
-            place = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())]))
-            return _table(out, ["shard", "repeat", "length", "places"], [pa.int32(), pa.int64(), pa.int64(), place])
-
-        return self.sent.groupBy("shard").applyInArrow(run, "shard int, repeat long, length long, places array<struct<id:long,start:long>>")
+        """(shard, repeat, length, places): every repeat with all its places (id, start) in one row; ``places`` has them apart."""
+        place = F.sort_array(F.collect_set(F.struct("id", "start"))).alias("places")
+        return self.places().groupBy("shard", "repeat", "length").agg(place)
 
     def spans(self) -> DataFrame:
         return self.sent.groupBy("shard").applyInArrow(_find, "part int, blob binary")

@@ -246,6 +246,15 @@ def test_repeats_have_all_places(spark):
     assert rows and all(len(r.places) == 4 and r.length >= 50 for r in rows)
 
 
+def test_suffix_dedup_shared_ids(spark):
+    rng = np.random.default_rng(6)
+    make = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    a, b, c = make(300), make(213), make(150)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + a), (3, c), (4, c[:80] + b[20:90]), (4, None)]
+    got = sorted((r.id, r.n_bytes, r.n_removed) for r in suffixdedup.Dedup(spark.createDataFrame(rows, "doc_id long, text string"), parts=3).digests().collect())
+    assert got == sorted([(1, 300, 0), (2, 300, 300), (2, 213, 0), (2, 213, 0), (3, 513, 513), (3, 150, 0), (4, 150, 150), (4, 0, 0)])
+
+
 def test_suffix_dedup_odd(odd, empty):
     got = suffixdedup.Dedup(clashing(odd)).digests().collect()
     assert len(got) == len(ODD)
