@@ -114,6 +114,20 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "w " * 50, "en", "a", 0)] * 40 + [(i, "w " * i, "en", "b", 0) for i in range(2, 40)] + [(None, "x y", "en", None, 0)] * 3
+    docs = spark.createDataFrame(rows, DOC).repartition(5)
+    got = mixing.mix(docs, block=9).collect()
+    assert len(got) == len(rows) and sum(r.copies for r in got if r.id == 1) * 50 == pytest.approx(next(r.target for r in got if r.id == 1), abs=50)
+    extra = docs.withColumns({c: F.lit(c) for c in ("copies", "i", "row", "h", "copy", "tie", "target")})
+    kept = mixing.keep_mix(spark, extra, "")
+    assert kept.columns == extra.columns
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.id] += r.copies
+    assert Counter(r.doc_id for r in kept.collect()) == +taken
+
+
 # 2: SimHash
 
 
