@@ -56,10 +56,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (as in tests on one machine) a temporary folder is made.
+    Only where that setting is missing and all runs in one process, a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"larkspur-{os.getpid()}")
     return found.rstrip("/")
 

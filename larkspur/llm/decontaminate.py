@@ -7,8 +7,11 @@ overlapping bands of diagonals; bands that reach the bound are retained, and a b
 verifies them.
 
 Defined results: a null text has no leaks, nor does an empty one; null and empty items match
-nothing; an item of under q bytes matches only whole between spaces; repeated items each match;
-every copy of a document is marked; other columns pass through unchanged.
+nothing; an item of under q bytes is not filtered: it matches exactly, between spaces, at every
+place; repeated items each match; every copy of a document is marked; a very long text is
+searched whole; regions that tie in start are in the order of their items; an empty table gives
+no rows, an empty benchmark no leaks; other columns, whatever their names, pass through
+unchanged.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, add_columns, as_bytes, fresh, table
+from .common import LOWER, add_columns, as_bytes, durable, fresh, table
 
 Q = 8
 #: Edits allowed as a share of an item's bytes.
 EDITS = 0.1
-#: Bytes of benchmark text that one pass broadcasts at most; more items take more passes.
-PASS_BYTES = 16 << 20
+#: Bytes of benchmark text whose index one pass broadcasts, some 32 bytes for each; more items take more passes, one after another.
+PASS_BYTES = 2 << 20
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
 _BITS = 22
@@ -108,9 +111,10 @@ class Items:
         out: list[list[dict]] = [[] for _ in texts]
         for d, t in enumerate(texts):
             for i, s in self.short:
-                if b" " + s + b" " in b" " + t + b" ":
-                    at = (b" " + t + b" ").index(b" " + s + b" ")
+                line, at = b" " + t + b" ", 0
+                while (at := line.find(b" " + s + b" ", at)) >= 0:
                     out[d].append({"item_id": i, "start": at, "end": at + len(s), "edits": 0})
+                    at += 1
         buffer = _GAP.join(texts)
         starts = np.cumsum([0, *(len(t) + len(_GAP) for t in texts)])[:-1]
         at, gram = self.shared(buffer)
@@ -184,22 +188,27 @@ def passes(benchmark: DataFrame, text: str = "text", key: str = "item_id", limit
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks", share: float = EDITS) -> DataFrame:
     """``docs`` with every region of its normalised text that holds a benchmark item.
 
-    One scan without a shuffle for each bounded part of the benchmark; the parts' regions are joined.
+    One scan without a shuffle for each bounded part of the benchmark; the parts' regions are added up.
     """
-    out, names = docs, []
-    for part in passes(benchmark):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out, parts, had = docs, passes(benchmark), None
+    for n, part in enumerate(parts):
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r.i, r.t.encode("utf-8", "replace")) for r in part.collect() if r.t is not None], share))
-        name = fresh(out, f"leaks_{len(names)}")
+        name = fresh(out, "leaks_")
 
         def make(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
-            from pyspark.sql.pandas.types import to_arrow_type
-
             return [pa.array(shared.value.leaks(as_bytes(batch.column(text))), to_arrow_type(LEAKS))]
 
         out = add_columns(out, text, [T.StructField(name, LEAKS)], make)
-        names.append(name)
-    whole = F.col(names[0]) if len(names) == 1 else F.concat(*names)
-    return out.select(*docs.columns, F.array_sort(whole).alias(leaks))
+        if had:
+            out = out.withColumn(name, F.concat(had, name)).drop(had)
+        had = name
+        if n + 1 < len(parts):
+            # What was found is written, so that no plan holds two parts' indexes.
+            out = durable(out, "leaks")
+            shared.unpersist()
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(had).alias(leaks))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +218,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark passage go."""
+    """Pipeline stage: documents that hold a benchmark passage go, all copies of each.
+
+    Null and empty texts stay; see the module for long texts, ties, empty tables and columns.
+    """
     name = fresh(docs, "leaks")
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks=name).where(F.size(name) == 0).drop(name)
 

@@ -11,8 +11,10 @@ pages by rule, with every part marked as article or not; ``fit`` takes any label
 
 Defined results: a null or empty page has an empty text; a page without tags is all content;
 unclosed and misnested elements are closed as browsers do; unknown tags are plain inline ones;
-scripts, styles, comments and other unseen parts never give text; rows that repeat are extracted
-alike; other columns pass through unchanged.
+scripts, styles, comments and other unseen parts never give text; a probability of just 1/2 is
+content; rows that repeat are extracted alike; a very long page takes time and memory in
+proportion to its length; an empty table gives no rows; other columns, whatever their names,
+pass through unchanged, and one named like the added column is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp
 
@@ -64,7 +68,8 @@ WORDS = {
 }
 _KIND = {w: kind for kind, ws in WORDS.items() for w in ws}
 _TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "li", "ul", "nav", "header", "footer", "aside", "form", "a", "button", "blockquote", "pre", "table", "figure", "body", "inline")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)")
+_RUN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _TELLS = {"nav": ("menu",), "footer": ("foot",), "header": ("head",), "aside": ("side",), "form": ("form",), "article": ("main",), "main": ("main",)}
@@ -95,10 +100,49 @@ def _kinds(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of every tag; comments and the like have no name.
+
+    A quote counts only after "=".  Each byte is looked at a bounded number of times: once a tag
+    has run to the end of the page for a quote that never closes, tags end at the next ">".
+    """
+    at, size, plain = 0, len(page), False
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith(("<!--", "<![CDATA["), i):
+            close = "-->" if page[i + 2] == "-" else "]]>"
+            j = page.find(close, i + 4)
+            at = j + 3 if j >= 0 else size
+            yield i, at, "", "", ""
+            continue
+        if page[i + 1 : i + 2] in ("!", "?"):
+            j = page.find(">", i)
+            at = j + 1 if j >= 0 else size
+            yield i, at, "", "", ""
+            continue
+        m = _OPEN.match(page, i)
+        if m is None:
+            at = i + 1
+            continue
+        end = m.end()
+        while end < size and page[end] != ">":
+            before = end - 1
+            while page[before].isspace():
+                before -= 1
+            j = page.find(page[end], end + 1) if page[before] == "=" and not plain else -1
+            end = _RUN.match(page, max(end, j) + 1).end()
+        if end >= size:
+            plain, end = True, page.find(">", i)
+            if end < 0:
+                return
+        at = end + 1
+        yield i, at, m[1], m[2].lower(), page[m.start(3) : end]
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The elements in page order, and the page's texts and breaks: (element, text) with "" for a break."""
     nodes, flow = [Node("#root", -1)], []
     stack, at, mark = [0], 0, re.compile(r"data-label\s*=\s*\"(\w+)\"")
+    opened: Counter[str] = Counter()  # of the tags in the stack, so that none is looked for in vain
 
     def say(text: str) -> None:
         if text:
@@ -109,18 +153,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if nodes[n].tag in BLOCK:
                 flow.append((nodes[n].parent, ""))
                 break
+        for n in stack[to:]:
+            opened[nodes[n].tag] -= 1
         del stack[to:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    for start, end, closing, tag, attributes in _tags(page):
+        if start < at:
             continue
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+        if closing:
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if nodes[stack[i]].tag == tag:
                     close(i)
                     break
@@ -130,7 +175,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag in ("p", "br"):
                     flow.append((stack[-1], ""))
             continue
-        if tag == "p" or tag in _CLOSES_P:
+        if (tag == "p" or tag in _CLOSES_P) and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == "p":
                     close(i)
@@ -139,7 +184,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         if tag in _CLOSES:
             ends, stops = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if nodes[stack[i]].tag in ends:
                     close(i)
                     if tag not in ("tr",):
@@ -151,20 +196,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:
             continue
         n = len(nodes)
-        found = mark.search(m[3]) if "data-label" in m[3] else None
-        nodes.append(Node(tag, stack[-1], _kinds(m[3]) if "=" in m[3] else (), found[1] if found else ""))
+        found = mark.search(attributes) if "data-label" in attributes else None
+        nodes.append(Node(tag, stack[-1], _kinds(attributes) if "=" in attributes else (), found[1] if found else ""))
         nodes[stack[-1]].children.append(n)
-        if m[3].endswith("/") and tag in ("svg", "math"):
+        if attributes.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
-            end = _CLOSERS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|$(?![\s\S])", re.I)).search(page, at)
-            at = end.end() if end else len(page)
+            ended = _CLOSERS.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|$(?![\s\S])", re.I)).search(page, at)
+            at = ended.end() if ended else len(page)
             continue
         stack.append(n)
+        opened[tag] += 1
     say(page[at:])
     for n, text in flow:
         if text:
-            nodes[n].text += len(text)
+            nodes[n].text += 0 if text.isspace() else len(text)
     for x in nodes[1:]:
         up = nodes[x.parent]
         told = up.kinds + _TELLS.get(up.tag, ())
@@ -179,12 +225,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, flow
 
 
+#: The page itself, which is content only for the text that stands in it bare; it tells nothing of its children.
+_PAGE = frozenset(("#root", "html", "body"))
+
+
 def signature(nodes: list[Node], n: int) -> tuple:
     """What the node potential depends on."""
     x = nodes[n]
     tag = x.tag if x.tag in _TAGS else {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "menu": "ul", "input": "form", "fieldset": "form", "label": "form", "hgroup": "header"}.get(x.tag, "inline" if x.tag not in BLOCK else "section")
     share = x.link / x.chars if x.chars else 0.0
-    return (tag, x.kinds, x.above, x.closest, 0 if share < 0.2 else 1 if share < 0.6 else 2, 0 if x.chars == 0 else 1 if x.chars < 80 else 2 if x.chars < 400 else 3)
+    chars = x.chars
+    if x.tag in _PAGE:  # what stands in it bare
+        tag, share, chars = "body", 0.0, x.text
+    return (tag, x.kinds, x.above, x.closest, 0 if share < 0.2 else 1 if share < 0.6 else 2, 0 if chars == 0 else 1 if chars < 80 else 2 if chars < 400 else 3)
 
 
 _COLUMNS = [*_TAGS, *("." + k for k in WORDS), *("in " + k for k in WORDS), *("by " + k for k in WORDS), "link1", "link2", "empty", "short", "middle", "long", "one"]
@@ -198,7 +251,7 @@ def _vector(sign: tuple) -> list[int]:
 
 def _edge(parent: str) -> int:
     """Kinds of edges by the parent's tag: the page, what groups at will, the article, the rest."""
-    if parent in ("#root", "html", "body"):
+    if parent in _PAGE:
         return 0
     return 1 if parent in ("div", "section", "table", "td", "tr", "tbody") else 2 if parent in ("article", "main") else 3
 
@@ -228,9 +281,8 @@ class Model:
         size = len(nodes)
         own = [self.potential(signature(nodes, n)) for n in range(size)]
         for n in range(size):
-            # The page itself is no article, unless text stands in it bare.
-            if nodes[n].tag in ("#root", "html", "body", "head"):
-                own[n] = (1.0, 1.0) if nodes[n].text > 200 else (1.0, 1e-6)
+            if nodes[n].tag == "head" or (nodes[n].tag in _PAGE and not nodes[n].text):
+                own[n] = (1.0, 1e-6)
         up = [(1.0, 1.0)] * size  # message to the parent
         belief = list(own)
         for n in range(size - 1, 0, -1):
@@ -285,11 +337,13 @@ def fit(pages: list[str], steps: int = 600, rate: float = 0.3) -> Model:
             label[n] = int(x.mark == "content") if x.mark else label[x.parent]
         for n in range(1, len(nodes)):
             x = nodes[n]
-            if x.tag in UNSEEN or x.tag in ("html", "body"):
+            # What only groups parts of either kind has no label to learn from.
+            if x.tag in UNSEEN or (not x.text and (x.tag in _PAGE or not (x.mark or label[n] or x.kinds or x.above))):
                 continue
             side = [0.0] * EDGES
             side[_edge(nodes[x.parent].tag)] += 2 * label[x.parent] - 1
             side[_edge(x.tag)] += sum(2 * label[c] - 1 for c in x.children if nodes[c].tag not in UNSEEN)
+            side[0] = 0.0
             # Once with its neighbours and once without, so that features tell what they can alone.
             for known in (side, [0.0] * EDGES):
                 rows.append(_vector(signature(nodes, n)))
@@ -379,24 +433,28 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
         if r.random() < 0.35:
             inside = inside.replace("<p>", clutter() + "<p>", 1) if r.random() < 0.5 else inside + clutter()
         way = r.random()
-        if way < 0.45:
+        if way < 0.28:
             main = f'<article data-label="content">{inside}</article>'
-        elif way < 0.55:
+        elif way < 0.36:
             main = f'<main><article data-label="content">{inside}</article>{clutter() if r.random() < 0.4 else ""}</main>'
-        elif way < 0.65:
+        elif way < 0.44:
             main = f'<main data-label="content">{inside}</main>'
-        elif way < 0.9:
+        elif way < 0.64:
             main = f'<div {r.choice(["class", "id"])}="{kind("main")}" data-label="content">{inside}</div>'
-        elif way < 0.95:
-            main = f'<div data-label="content">{inside}</div>'
+        elif way < 0.84:
+            main = f'<div {r.choice(["", 'class="x"', 'id="c1"', 'class="col row-2"'])} data-label="content">{inside}</div>'
+        elif way < 0.9:
+            # Bare in the body; what is around it carries its own label.
+            main = words(1, 300) if r.random() < 0.7 else f'<h1 data-label="content">{words(1, 8)}</h1>{words(1, 300)}'
         else:
             main = re.sub(r"<(p|h1|h2|ul|blockquote|pre|table|figure|div)>", r'<\1 data-label="content">', inside)
         before = "".join(clutter() for _ in range(r.randint(0, 4)))
         after = "".join(clutter() for _ in range(r.randint(0, 4)))
         page = before + main + after
-        if r.random() < 0.3:
+        if r.random() < 0.3 and not 0.84 <= way < 0.9:
             page = f"<div class='wrapper'>{page}</div>"
-        out.append(f"<html><head><title>{words(2, 6)}</title></head><body>{page}</body></html>")
+        bare = ' data-label="content"' if 0.84 <= way < 0.9 else ""
+        out.append(f"<html><head><title>{words(2, 6)}</title></head><body{bare}>{page}</body></html>")
     return out
 
 

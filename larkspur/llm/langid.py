@@ -2,11 +2,14 @@
 
 Each language has a probability for every piece of a fixed public vocabulary.  The
 probability of a word is the sum over all its segmentations into pieces, which a forward
-recursion gives; that of a text is the product over its words.
-
-Defined results: a null text, or one with no letter, is ``und`` with score 0; an empty
-training set makes every text ``und``; ties go to the language that sorts first; rows that
-repeat are scored alike; other columns pass through unchanged.
+recursion gives; that of a text is the product over its words.  Every piece of the vocabulary
+that holds no white space after its first byte counts, as words hold none.
+
+Defined results: a null or empty text, or one with no letter, is ``und`` with score 0; an empty
+training set makes every text ``und``, an empty table gives no rows; ties go to the language that
+sorts first; rows that repeat are scored alike; very long texts and words are scored whole, but
+texts of over ``FIT_BYTES`` bytes are not learned from; other columns, whatever their names,
+pass through unchanged, and one named like an added column is replaced.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ from pyspark.sql.window import Window
 from .common import add_columns, as_bytes, by_list, fresh, held_out, interned, table
 
 UND = "und"
-#: Longest piece in bytes; longer pieces of the vocabulary are not used.
-PIECE_BYTES = 6
-#: Documents per language that the fit reads, chosen by the hash of their id.
+#: Documents per language that the fit reads, chosen by the hash of their id, and the bytes of each at most.
 FIT_DOCS = 300
+FIT_BYTES = 1 << 16
+#: Words from this many bytes on are scored one by one.
+LONG_WORD = 64
 EM_ROUNDS = 3
 SMOOTHING = 0.1
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_RADIX = np.uint64(0xD6E8FEB86659FD93)
+#: log of the probability of no piece.
+_NEVER = -1e30
 _LETTER = re.compile(r"[^\W\d_]+")
 
 
@@ -47,19 +54,29 @@ def byte_level_pieces(path: str) -> list[bytes]:
 
 
 class Pieces:
-    """Finds every piece that starts at every byte of a buffer, by vectorised hashing."""
+    """Finds every piece that starts at every byte of a buffer, by vectorised hashing.
+
+    Pieces are known by a 64-bit polynomial of their bytes, which is unlike for all of them.
+    """
 
     BITS = 18
 
     def __init__(self, pieces: list[bytes]) -> None:
         single = {bytes([b]) for b in range(256)}
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= PIECE_BYTES} | single)
+        self.pieces = sorted({p for p in pieces if p and not any(b in b" \t\n\r\x0b\x0c" for b in p[1:])} | single)
+        while len(self.pieces) * 2 > 1 << self.BITS:
+            self.BITS += 1
+        self.longest = max(map(len, self.pieces))
+        self.sizes = sorted({len(p) for p in self.pieces})
         size = 1 << self.BITS
         self.keys = np.zeros(size, dtype=np.uint64)
         self.ids = np.full(size, -1, dtype=np.int32)
         self.probes = 1
+        seen = set()
         for n, piece in enumerate(self.pieces):
             key = self._key(piece)
+            assert key not in seen
+            seen.add(key)
             slot, step = int((key * int(_MULTIPLIER) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.BITS)), 1
             while self.ids[slot] >= 0:
                 slot, step = (slot + 1) % size, step + 1
@@ -67,7 +84,10 @@ class Pieces:
 
     @staticmethod
     def _key(piece: bytes) -> int:
-        return len(piece) << 56 | int.from_bytes(piece, "big")
+        key = 0
+        for b in piece:
+            key = (key * int(_RADIX) + b + 1) & 0xFFFFFFFFFFFFFFFF
+        return key
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         slots = ((keys * _MULTIPLIER) >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -81,17 +101,24 @@ class Pieces:
             open_ = open_[(out[open_] < 0) & (self.ids[at] >= 0)]
         return out
 
-    def starts(self, buffer: np.ndarray) -> np.ndarray:
-        """Row l-1 holds for each byte the piece of l bytes that starts there, or the number of pieces."""
+    def starts(self, buffer: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+        """By size, for each byte the piece of that many bytes that starts there, or the number of pieces.
+
+        Sizes of which no piece occurs, and those over ``longest``, are left out.
+        """
         none, n = len(self.pieces), len(buffer)
-        out = np.full((PIECE_BYTES, n), none, dtype=np.int32)
+        out = {}
+        wide = buffer.astype(np.uint64) + np.uint64(1)
         key = np.zeros(n, dtype=np.uint64)
-        for size in range(1, PIECE_BYTES + 1):
-            if n < size:
-                break
-            key = (key[: n - size + 1] << np.uint64(8)) | buffer[size - 1 :].astype(np.uint64)
-            found = self.find(key | np.uint64(size << 56))
-            out[size - 1, : n - size + 1] = np.where(found < 0, none, found)
+        for size in range(1, min(longest, self.longest, n) + 1):
+            key = key[: n - size + 1] * _RADIX + wide[size - 1 :]
+            if size not in self.sizes:
+                continue
+            found = self.find(key)
+            if found.max(initial=-1) >= 0:
+                now = np.full(n, none, dtype=np.int32)
+                now[: n - size + 1] = np.where(found < 0, none, found)
+                out[size] = now
         return out
 
 
@@ -104,70 +131,106 @@ def _layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return order, lengths[order], starts[order], buffer
 
 
-def forward(words: list[bytes], pieces: Pieces, p: np.ndarray, keep: bool = False):
+def forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations, for each word and language.
 
-    ``p`` has a row for each piece and one of zeros.  With ``keep`` also what expectation needs.
+    ``p`` has a row for each piece and one of zeros.
     """
     order, lengths, starts, buffer = _layout(words)
     langs = p.shape[1]
-    found = pieces.starts(buffer)
     log = np.zeros((len(words), langs))
-    alphas = [np.ones((len(words), langs))]
-    longest = int(lengths[0]) if len(lengths) else 0
-    active = len(words) - np.searchsorted(lengths[::-1], np.arange(longest + 2), side="left")
-    ends = [np.zeros((0, langs))] * (longest + 1)
+    # Long words one by one, all sizes at once; the others side by side, one size at a time.
+    long = int((lengths >= LONG_WORD).sum())
+    for w in range(long):
+        log[w] = _forward_long(buffer[starts[w] : starts[w] + lengths[w]], pieces, p)
+    rest, at = lengths[long:], starts[long:]
+    longest = int(rest[0]) if len(rest) else 0
+    found = pieces.starts(buffer, longest)
+    history = max(found, default=1)
+    alphas = [np.ones((len(rest), langs))]
+    active = len(rest) - np.searchsorted(rest[::-1], np.arange(longest + 2), side="left")
     for j in range(1, longest + 1):
         n = int(active[j])
         now = np.zeros((n, langs))
-        for size in range(1, min(PIECE_BYTES, j) + 1):
-            ids = found[size - 1, starts[:n] + (j - size)]
-            now += alphas[-size][:n] * p[ids]
-        if j % 16 == 0 and not keep:
+        for size, ids in found.items():
+            if size > j:
+                break
+            now += alphas[-size][:n] * p[ids[at[:n] + (j - size)]]
+        if j % 16 == 0:
             scale = now.copy()
-            log[:n] += np.log(scale)
-            alphas = [a[:n] / scale for a in alphas[-PIECE_BYTES:]]
+            log[long : long + n] += np.log(scale)
+            alphas = [a[:n] / scale for a in alphas[-history:]]
             now = np.ones((n, langs))
         alphas.append(now)
-        if not keep:
-            alphas = alphas[-PIECE_BYTES:]
+        alphas = alphas[-history:]
         done = int(active[j + 1])
         if done < n:
-            log[done:n] += np.log(now[done:n])
+            log[long + done : long + n] += np.log(now[done:n])
     out = np.empty_like(log)
     out[order] = log
-    return (out, order, lengths, starts, found, alphas, active) if keep else out
+    return out
+
+
+def _forward_long(word: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    found = pieces.starts(word, len(word))
+    sizes = np.array(list(found), dtype=np.int64)
+    history, n = int(sizes.max()), len(word)
+    table_ = np.stack(list(found.values()))  # by size and start
+    which = np.arange(len(sizes))
+    window = np.zeros((n + 1 + history, p.shape[1]))  # the sums up to each byte, zeros before the word
+    window[history] = 1.0
+    log = np.zeros(p.shape[1])
+    for j in range(1, n + 1):
+        begin = j - sizes
+        now = (window[begin + history] * p[table_[which, np.maximum(begin, 0)]]).sum(axis=0)
+        if j % 16 == 0:
+            log += np.log(now)
+            window[j : j + history] /= now
+            now = np.ones_like(now)
+        window[j + history] = now
+    return log + np.log(window[n + history])
 
 
 def expected(words: list[bytes], weights: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations (one language), for an EM step."""
-    _, order, lengths, starts, found, alphas, active = forward(words, pieces, p, keep=True)
+    """Expected uses of each piece over all segmentations (one language), for an EM step; by logarithms, so for words of any length."""
+    order, lengths, starts, buffer = _layout(words)
     weights = weights[order]
-    longest = len(alphas) - 1
-    total = np.zeros(len(words))
+    longest = int(lengths[0]) if len(lengths) else 0
+    found = pieces.starts(buffer, longest)
+    active = len(words) - np.searchsorted(lengths[::-1], np.arange(longest + 2), side="left")
+    with np.errstate(divide="ignore"):
+        logp = np.maximum(np.log(p[:, 0]), _NEVER)
+
+    def total(terms: list[np.ndarray]) -> np.ndarray:
+        every = np.stack(terms)
+        top = every.max(axis=0)
+        return top + np.log(np.exp(every - top).sum(axis=0))
+
+    alphas = [np.zeros(len(words))]
+    whole = np.zeros(len(words))
     for j in range(1, longest + 1):
-        done, n = int(active[j + 1]), int(active[j])
-        total[done:n] = alphas[j][done:n, 0]
+        n, done = int(active[j]), int(active[j + 1])
+        alphas.append(total([alphas[j - size][:n] + logp[ids[starts[:n] + (j - size)]] for size, ids in found.items() if size <= j]))
+        whole[done:n] = alphas[j][done:n]
     out = np.zeros(len(p))
     betas: dict[int, np.ndarray] = {}
     for j in range(longest, -1, -1):
         n = int(active[max(j, 1)]) if j else len(words)
-        beta = np.zeros(n)
+        beta = np.full(n, _NEVER)
         if j:
-            done = int(active[j + 1])
-            beta[done:n] = 1.0
-        for size in range(1, PIECE_BYTES + 1):
+            beta[int(active[j + 1]) : n] = 0.0
+        for size, ids in found.items():
             if j + size > longest:
                 break
             m = int(active[j + size])
             if not m:
                 continue
-            ids = found[size - 1, starts[:m] + j]
-            flow = p[ids, 0] * betas[j + size]
-            beta[:m] += flow
-            out += np.bincount(ids, weights=alphas[j][:m, 0] * flow / total[:m] * weights[:m], minlength=len(p))
+            here = ids[starts[:m] + j]
+            flow = logp[here] + betas[j + size]
+            beta[:m] = np.logaddexp(beta[:m], flow)
+            out += np.bincount(here, weights=np.exp(alphas[j][:m] + flow - whole[:m]) * weights[:m], minlength=len(p))
         betas[j] = beta
-        betas.pop(j + PIECE_BYTES, None)
+        betas.pop(j + pieces.longest, None)
     out[-1] = 0
     return out
 
@@ -190,14 +253,11 @@ class Model:
         p = np.zeros((len(pieces.pieces) + 1, len(langs)))
         for k, lang in enumerate(langs):
             distinct, flat, _ = interned([spaced(t) for t in texts[lang]])
-            # Longer words have too small a probability for an unscaled pass; they only count when scoring.
-            keep = [i for i, w in enumerate(distinct) if len(w) <= 40]
-            weights = np.bincount(flat, minlength=len(distinct)).astype(float)[keep] if distinct else np.zeros(0)
-            chosen = [distinct[i] for i in keep]
+            weights = np.bincount(flat, minlength=len(distinct)).astype(float)
             q = np.full((len(p), 1), 1.0 / len(pieces.pieces))
             q[-1] = 0
-            for _ in range(rounds if chosen else 0):
-                uses = expected(chosen, weights, pieces, q) + SMOOTHING
+            for _ in range(rounds if distinct else 0):
+                uses = expected(distinct, weights, pieces, q) + SMOOTHING
                 uses[-1] = 0
                 q = (uses / uses.sum())[:, None]
             p[:, k] = q[:, 0]
@@ -225,9 +285,9 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", vocabulary: str | None = None, fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on at most ``fit_docs`` whole texts of each language, those whose ids hash lowest."""
+    """Fit on at most ``fit_docs`` whole texts of each language, those whose ids hash lowest, of texts up to ``FIT_BYTES``."""
     rows = docs.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).cast("string").alias("k"))
-    rows = rows.where("l is not null and t is not null")
+    rows = rows.where(F.col("l").isNotNull() & (F.octet_length("t") <= FIT_BYTES))
     # Ids first: a top-k per language that Spark cuts in each task before it shuffles.
     lowest = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
     marks = rows.select("l", "h", "k").withColumn("n", lowest).where(F.col("n") <= fit_docs).groupBy("l").agg(F.max("h").alias("top"))
@@ -261,7 +321,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no known language go."""
+    """Pipeline stage: documents in no known language go, those without a letter (null and empty texts too).
+
+    Repeated rows stay or go together; see the module for long texts, ties and an empty table;
+    columns of any name are kept.
+    """
     model = fit(docs.where(~held_out("doc_id", 3, 1)))
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     return identify(docs, model, pred=pred, score=score).where(F.col(pred) != UND).drop(pred, score)

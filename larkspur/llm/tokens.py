@@ -5,9 +5,12 @@ as one ORC file per range.  ORC run-length encodes the integer columns; each str
 row index (least and greatest id of every ``ROW_STRIDE`` rows) and a Bloom filter on the id, so
 readers skip stripes and files by their metadata and read stripes in parallel.
 
+A text that spells a special token of the vocabulary has that token's id, as the library gives it.
+
 Defined results: a null or empty text has only the end id; a null document id sorts first; rows
-that share an id are written one after another; an empty table gives an empty folder and no
-rows; other columns are not read.
+that share an id, or repeat, are written one after another, in no defined order; a very long
+text is one row, encoded whole; an empty table gives an empty folder and no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -81,7 +84,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = _Memo(self.tokenizer, space=False)
         self.known = _Memo(self.tokenizer, space=True, marks=self.first)
         self.feed = self.first["\n"]
@@ -96,7 +99,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids and the end id, as little-endian 32-bit integers."""
         get, first, end = self.known.__getitem__, self.first, np.array([END], dtype="<u4").tobytes()
-        return [self.feed.join([first[line[0]] + b"".join(map(get, line[1:])) for line in self._cut(t)]) + end for t in texts]
+        return [(self._whole(t) if any(x in t for x in self.special) else self.feed.join([first[line[0]] + b"".join(map(get, line[1:])) for line in self._cut(t)])) + end for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        """A text that holds one of the vocabulary's special tokens, which may span words."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,7 +182,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' token files, and a row for each document in them."""
+    """Pipeline stage: the documents' token files, and a row for each document in them, repeated rows too.
+
+    See the module for nulls, empty and long texts, ties, an empty table and other columns.
+    """
     path = shared_path(spark, "tokens")
     write_token_table(docs, path)
     return digests(read_token_table(spark, path))

@@ -3,8 +3,11 @@
 import hashlib
 import math
 import os
+import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -413,7 +416,6 @@ def test_tokens(spark, odd):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.public_tokenizer())
-    plain.encode_special_tokens = True
     rows = [(i, t) for i, t in enumerate(["a b", " a  b", "a\n b", "a b ", "", None, "It's  \n\n x 12 34 <|endoftext|> é b", "  q \x1c r", LONG])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     path = tokens.shared_path(spark, "test-tokens")
@@ -459,6 +461,26 @@ def test_forward_sums_all_segmentations():
     assert sum(uses[i] * len(x) for i, x in enumerate(pieces.pieces)) == pytest.approx(10)
 
 
+def test_forward_long_words_and_pieces():
+    long = b"abcdefghijklmnopqrst"
+    pieces = langid.Pieces([b"ab", long, long[3:15], b"a b"])
+    assert long in pieces.pieces and b"a b" not in pieces.pieces
+    rng = np.random.default_rng(6)
+    p = rng.random((len(pieces.pieces) + 1, 2)) / 300
+    p[-1] = 0
+    words_ = [long * 5, b"q" + long * 4 + b"ab" * 9, b"x" * 63]
+    index = {x: i for i, x in enumerate(pieces.pieces)}
+    for w, row in zip(words_, langid.forward(words_, pieces, p), strict=True):
+        sums = [(1.0, 1.0)]
+        for j in range(1, len(w) + 1):
+            sums.append(sum((np.array(sums[j - n]) * p[index[w[j - n : j]]] for n in range(1, j + 1) if w[j - n : j] in index), np.zeros(2)))
+            sums = [np.array(x) for x in sums]
+        assert np.allclose(row, np.log(sums[-1]))
+    uses = langid.expected([long * 12], np.array([1.0]), pieces, p[:, :1])
+    assert sum(uses[i] * len(x) for i, x in enumerate(pieces.pieces)) == pytest.approx(len(long) * 12)
+    assert uses[index[long]] > 0
+
+
 def test_long_words_do_not_vanish():
     pieces = langid.Pieces([])
     p = np.full((len(pieces.pieces) + 1, 1), 1 / 256)
@@ -505,6 +527,62 @@ def test_pages(extractor, page, want):
     assert extractor.extract(page) == want
 
 
+PROSE = "prose words here and there with some meaning to it "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='x'><p>{PROSE * 6}</div>",
+        f"<body>{PROSE * 4}",
+        f"<body>{PROSE}",
+        "<body>short article</body>",
+        f"<h1>Title</h1>{PROSE * 3}",
+        f"<div class=x><div><p>{PROSE * 3}</p><p>{PROSE}</p></div></div>",
+    ],
+)
+def test_pages_without_telling_names(extractor, page):
+    assert extractor.extract(page) == " ".join(re.sub("<[^>]*>", " ", page).split())
+
+
+def test_long_and_broken_pages_take_linear_time(extractor):
+    for page in ("<a '" * 250_000, "<a href='" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, f"<p>{PROSE}</p>" * 80_000, "<" * 1_000_000):
+        began = time.monotonic()
+        extractor.extract(page)
+        assert time.monotonic() - began < 30
+
+
+class Article(HTMLParser):
+    """The text in a page's article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.out.append(" " if tag in ("p", "h1", "br", "li", "div") else "")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.out.append(" " if tag in ("p", "h1", "li", "div") else "")
+
+    def handle_data(self, data):
+        self.out.append(data if self.inside else "")
+
+
+@needs_tables
+def test_pages_table(spark):
+    rows = {r.page_id: r for r in html.op7_html_extraction(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for r in pages:
+        reader = Article()
+        reader.feed(r.html or "")
+        assert rows[r.page_id].text == " ".join("".join(reader.out).split())
+        assert rows[r.page_id].n_chars == len(rows[r.page_id].text)
+
+
 def test_held_out_pages(extractor):
     good = bad = missed = 0
     for page in html.labelled_pages(100, seed=77):
