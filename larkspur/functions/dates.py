@@ -30,6 +30,8 @@ def modified(x: str, modifiers: tuple[str, ...]) -> str:
         word = text[1:-1].strip().lower()
         if found := re.fullmatch(r"([+-]?\d+(?:\.\d+)?) (day|hour|minute|second|month|year)s?", word):
             n = float(found[1])
+            if n != int(n) and found[2] in ("month", "year"):
+                raise ParseError(f"a fraction of a {found[2]} has no length: {m}")
             out = f"timestampadd({_UNITS[found[2]].upper()}, {int(n)}, {out})" if n == int(n) else f"({out} + make_dt_interval(0, 0, 0, {n * {'day': 86400, 'hour': 3600, 'minute': 60, 'second': 1}.get(found[2], 0)}))"
         elif found := re.fullmatch(r"start of (day|month|year)", word):
             out = f"date_trunc('{found[1]}', {out})"

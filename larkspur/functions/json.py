@@ -15,7 +15,8 @@ def path(p: str) -> str:
     inner = text[1:-1]
     if not inner.startswith("$"):
         inner = f"$[{inner}]" if inner.isdigit() else f"$.{inner}"
-    return "'" + re.sub(r"\.(\d+)(?=[.\[]|$)", r"[\1]", inner) + "'"
+    inner = re.sub(r"\.\"([^\"]*)\"", r"['\1']", re.sub(r"\.(\d+)(?=[.\[]|$)", r"[\1]", inner))
+    return '"' + inner + '"' if "'" in inner else "'" + inner + "'"
 
 
 def extract(j: str, p: str) -> str:
@@ -71,5 +72,6 @@ TEMPLATES = {
     "json_type": kind,
     "json_array_length": length,
     "json_quote": lambda x: f"to_json({value(x)})",
+    "json_group_object": lambda k, v: f"to_json(map_from_entries(collect_list(struct(cast({k} AS string), {value(v)}))))",
     "json_group_array": lambda x: f"to_json(collect_list({x}))",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from ..errors import ParseError
+
 
 def length(x: str) -> str:
     """Characters of text, bytes of a blob, characters of a number's text."""
@@ -57,8 +61,55 @@ def concat(*xs: str) -> str:
     return "concat(" + ", ".join(f"coalesce(cast({x} AS string), '')" for x in xs) + ")"
 
 
+def _character(x: str) -> str:
+    """The character of a code point, by its UTF-8 bytes."""
+    n = f"cast({x} AS bigint)"
+
+    def tail(shift: int) -> str:
+        return f"hex(128 + shiftright({n}, {shift}) % 64)"
+
+    two, three, four = (f"decode(unhex(concat(hex({lead} + shiftright({n}, {shift})), {', '.join(tail(k) for k in range(shift - 6, -1, -6))})), 'UTF-8')" for lead, shift in ((192, 6), (224, 12), (240, 18)))
+    return f"CASE WHEN {n} < 128 THEN char({n}) WHEN {n} < 2048 THEN {two} WHEN {n} < 65536 THEN {three} ELSE {four} END"
+
+
 def char(*xs: str) -> str:
-    return "concat(" + ", ".join(f"decode(encode(char({x}), 'UTF-8'), 'UTF-8')" for x in xs) + ")" if xs else "''"
+    return "concat(" + ", ".join(_character(x) for x in xs) + ")" if xs else "''"
+
+
+def printf(form: str, *xs: str) -> str:
+    """The dialect's codes as those of Spark; the format must be a literal where it has other ones."""
+    text, given, out, args = form.strip(), iter(xs), [], []
+    if not (text.startswith("'") and text.endswith("'")):
+        return f"format_string({', '.join((form, *xs))})"
+    for part in re.findall(r"%[-+ 0,#!]*\d*(?:\.\d+)?(?:ll|l)?[a-zA-Z%]|[^%]+|%", text[1:-1]):
+        code = part[-1] if part.startswith("%") and len(part) > 1 else ""
+        if not code:
+            out.append(part.replace("%", "%%"))
+            continue
+        if code in "%n":
+            out.append("%%")
+            continue
+        x, flags = next(given, "NULL"), part[:-1].replace("l", "").replace("!", "")
+        if code in "diu":
+            out.append(flags + "d")
+            args.append(f"cast({x} AS bigint)")
+        elif code in "feEgGxXo":
+            out.append(flags + {"E": "e", "G": "g"}.get(code, code))
+            args.append(f"cast({x} AS {'bigint' if code in 'xXo' else 'double'})")
+        elif code == "c":
+            out.append(flags + "s")
+            args.append(f"substring(cast({x} AS string), 1, 1)")
+        elif code in "qQw":
+            mark = '"' if code == "w" else "\\'"
+            inside = f"replace(cast({x} AS string), '{mark}', '{mark * 2}')"
+            out.append(flags + "s")
+            args.append(f"CASE WHEN ({x}) IS NULL THEN 'NULL' ELSE concat('\\'', {inside}, '\\'') END" if code == "Q" else inside)
+        elif code == "s":
+            out.append(flags + "s")
+            args.append(f"coalesce(cast({x} AS string), '')")
+        else:
+            raise ParseError(f"unknown printf code {part}")
+    return f"format_string({', '.join(['\'' + ''.join(out) + '\'', *args])})"
 
 
 TEMPLATES = {
@@ -78,7 +129,7 @@ TEMPLATES = {
     "char": char,
     "hex": lambda x: f"hex(cast(cast({x} AS string) AS binary))" if not x.strip().upper().startswith("X'") else f"hex({x})",
     "unicode": lambda x: f"ascii({x})",
-    "printf": lambda f, *xs: f"format_string({', '.join((f, *xs))})",
-    "format": lambda f, *xs: f"format_string({', '.join((f, *xs))})",
+    "printf": printf,
+    "format": printf,
     "octet_length": lambda x: f"octet_length({x})",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import ConstraintError
 
@@ -27,18 +28,47 @@ def deleted(df: DataFrame, where: str) -> tuple[DataFrame, DataFrame]:
     return df.where(~test), df.where(test)
 
 
-def merged(df: DataFrame, new: DataFrame, keys: tuple[tuple[str, ...], ...], conflict: str) -> DataFrame:
-    """``new`` appended.  REPLACE drops old rows with the same key, IGNORE new ones; else keys are checked later."""
-    if conflict not in ("replace", "ignore") or not keys:
-        return df.unionByName(new)
+def latest(new: DataFrame, key: tuple[str, ...], first: bool = False) -> DataFrame:
+    """Of rows with the same key the last, or the first; a null in the key is like no other."""
+    order = F.col("__at") if first else F.col("__at").desc()
+    rows = new.withColumn("__at", F.monotonically_increasing_id())
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    # Rows without a whole key are spread by their place, each a group of its own.
+    own = F.when(~known, F.col("__at"))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key, own).orderBy(order)))
+    return rows.where("__n = 1").drop("__n", "__at")
+
+
+def merged(df: DataFrame, new: DataFrame, keys: tuple[tuple[str, ...], ...], conflict: str) -> tuple[DataFrame, DataFrame]:
+    """The table with ``new`` appended, and what was: REPLACE drops rows before with the same key, IGNORE the new ones."""
     for key in keys:
-        one = new.dropDuplicates(list(key))
+        new = latest(new, key, first=conflict == "ignore")
         if conflict == "ignore":
-            new = one.join(df.select(*key), list(key), "left_anti").select(df.columns)
-        else:
-            new = one
+            new = new.join(df.select(*key), list(key), "left_anti").select(df.columns)
+    if conflict == "replace":
+        for key in keys:
             df = df.join(new.select(*key), list(key), "left_anti").select(df.columns)
-    return df.unionByName(new)
+    return df.unionByName(new), new
+
+
+def numbered(new: DataFrame, column: str, old: DataFrame) -> DataFrame:
+    """``new`` with its null row ids filled, in order, from the greatest id of both plus one.
+
+    Rows are numbered within their tasks; the tasks' counts, one row each, are added up.
+    """
+    empty = new.where(F.col(column).isNull())
+    if empty.isEmpty():
+        return new
+    top = max(new.agg(F.max(column)).first()[0] or 0, old.agg(F.max(column)).first()[0] or 0)
+    rows = new.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.shiftright("__at", 33))
+    counts = rows.where(F.col(column).isNull()).groupBy("__task").agg(F.count("*").alias("__many"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__task", F.coalesce(F.sum("__many").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__task", F.col(column).isNull()).orderBy("__at"))
+    filled = rows.join(F.broadcast(offsets), "__task", "left").withColumn(column, F.coalesce(F.col(column), F.lit(top) + F.col("__before") + place))
+    return filled.orderBy("__at").select(new.columns)
 
 
 def upserted(df: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import udf
 from .dialect import names_used, single
 from .engine import Engine
-from .functions import call
 from .operators.dml import upserted
 from .operators.joins import asof_join, range_join
 from .operators.windows import excluded, groups_frame
@@ -74,7 +74,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_comma": ("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", None),
     "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000", None),
     "join_right": ("SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey", None),
-    "join_full": ("SELECT a.k AS a, b.k AS b FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0) a FULL OUTER JOIN (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1) b ON a.k = b.k", None),
+    "join_full": ("SELECT a.k AS a, b.k AS b FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL OUTER JOIN (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1) b ON a.k = b.k", None),
     "join_cross": ("SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n", None),
     "join_natural": ("SELECT r_name, k, n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a NATURAL JOIN (SELECT n_regionkey AS k, n_name FROM nation) b", None),
     "join_natural_left": ("SELECT k, r_name, n_name FROM (SELECT r_regionkey AS k, r_name FROM region) a NATURAL LEFT JOIN (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey < 3) b", None),
@@ -143,7 +143,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "win_rows_frame": ("SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM events", "SELECT event_id, (sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))::BIGINT AS s FROM events"),
     "win_range_frame": ("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM part", None),
     "win_named": ("SELECT s_suppkey, sum(s_suppkey) OVER w AS s, count(*) OVER w AS n FROM supplier WINDOW w AS (PARTITION BY s_nationkey)", "SELECT s_suppkey, (sum(s_suppkey) OVER w)::BIGINT AS s, count(*) OVER w AS n FROM supplier WINDOW w AS (PARTITION BY s_nationkey)"),
-    "win_agg_filter": ("SELECT o_orderkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS n FROM orders", "SELECT o_orderkey, (count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey))::BIGINT AS n FROM orders"),
+    "win_agg_filter": ("SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS n, sum(o_custkey) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_orderpriority) AS s FROM orders", "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS n, (sum(o_custkey) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_orderpriority))::BIGINT AS s FROM orders"),
     # Scalar functions
     "fn_abs_sign_round": ("SELECT abs(x) AS a, sign(x) AS s, round(x) AS r, round(x, 1) AS r1, round(1234.5, -2) AS h FROM (VALUES (-2.5e0), (0e0), (3.14e0)) AS v(x)", "SELECT abs(x) AS a, CAST(sign(x) AS BIGINT) AS s, round(x) AS r, round(x, 1) AS r1, 1200.0::DOUBLE AS h FROM (VALUES (-2.5::DOUBLE), (0::DOUBLE), (3.14::DOUBLE)) AS v(x)"),
     "fn_abs_least": ("SELECT abs(-9223372036854775807 - 1) AS a, abs(-5) AS b", "SELECT 9223372036854775807 AS a, 5::BIGINT AS b"),
@@ -167,7 +167,25 @@ SQL: dict[str, tuple[str, str | None]] = {
     "dt_strftime": ("SELECT event_id, strftime('%Y/%m at %H%%', ts) AS a, strftime('%j', ts) AS b FROM events", "SELECT event_id, strftime(ts, '%Y/%m at %H%%') AS a, strftime(ts, '%j') AS b FROM events"),
     "dt_epoch": ("SELECT event_id, unixepoch(ts) AS s, strftime('%s', ts) AS t FROM events", "SELECT event_id, epoch_us(ts) // 1000000 AS s, (epoch_us(ts) // 1000000)::VARCHAR AS t FROM events"),
     "dt_modifiers": ("SELECT o_orderkey, date(o_orderdate, '+1 month', 'start of month') AS a, date(o_orderdate, '-10 days') AS b FROM orders", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate + INTERVAL 1 MONTH), '%Y-%m-%d') AS a, strftime(o_orderdate - INTERVAL 10 DAY, '%Y-%m-%d') AS b FROM orders"),
+    # Division and truth by type
+    "int_div_agg": ("SELECT o_custkey, sum(o_orderkey) / 4 AS q, max(o_orderkey) / count(*) AS m, avg(o_totalprice) / 2 AS h FROM orders GROUP BY o_custkey", "SELECT o_custkey, (sum(o_orderkey) // 4)::BIGINT AS q, max(o_orderkey) // count(*) AS m, avg(o_totalprice) / 2 AS h FROM orders GROUP BY o_custkey"),
+    "int_div_derived": ("WITH c AS (SELECT c_nationkey AS k, count(*) AS n, avg(c_acctbal) AS c_custkey FROM customer GROUP BY c_nationkey) SELECT k, n / 2 AS half, n / 2.0 AS real_half, 1000 / (n / 3) / 2 AS nested, c_custkey / 2 AS d FROM c WHERE n / 3 > 0", "WITH c AS (SELECT c_nationkey AS k, count(*) AS n, avg(c_acctbal) AS c_custkey FROM customer GROUP BY c_nationkey) SELECT k, n // 2 AS half, n / 2.0::DOUBLE AS real_half, 1000 // (n // 3) // 2 AS nested, c_custkey / 2 AS d FROM c WHERE n // 3 > 0"),
+    "filter_truthy": ("SELECT p_partkey FROM part WHERE p_size % 3 AND NOT p_size % 4 OR p_size - 7 AND p_size % 5 = 0", "SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND NOT p_size % 4 <> 0 OR p_size - 7 <> 0 AND p_size % 5 = 0"),
+    "truth_as_value": ("SELECT n_nationkey, CASE WHEN n_regionkey THEN 'some' ELSE 'none' END AS k, n_regionkey > 1 AND n_nationkey % 2 AS b FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey <> 0 THEN 'some' ELSE 'none' END AS k, n_regionkey > 1 AND n_nationkey % 2 <> 0 AS b FROM nation"),
+    "having_truthy": ("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING sum(n_nationkey) % 2", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING sum(n_nationkey) % 2 <> 0"),
+    "in_table": ("WITH wanted AS (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') SELECT n_name FROM nation WHERE n_regionkey IN wanted", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name ILIKE 'A%')"),
+    "limit_negative": ("SELECT r_name FROM region ORDER BY r_name LIMIT -1", "SELECT r_name FROM region ORDER BY r_name"),
+    "win_groups_sql": ("SELECT p_partkey, count(*) OVER w AS n, sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "SELECT p_partkey, count(*) OVER w AS n, (sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
+    "win_exclude_sql": ("SELECT p_partkey, " + ", ".join(f"{a}(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {h}) AS {a}_{h.lower().replace(' ', '_')}" for a in ("sum", "count") for h in ("NO OTHERS", "CURRENT ROW", "GROUP", "TIES")) + " FROM part", "SELECT p_partkey, " + ", ".join(f"({a}(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {h}))::BIGINT AS {a}_{h.lower().replace(' ', '_')}" for a in ("sum", "count") for h in ("NO OTHERS", "CURRENT ROW", "GROUP", "TIES")) + " FROM part"),
+    "unary_plus": ("SELECT n_nationkey, + n_regionkey AS a, - + n_regionkey AS b FROM nation", None),
+    "order_default_nulls": ("SELECT k, x FROM (VALUES (1, 5), (2, NULL), (3, 1)) AS v(k, x) ORDER BY x, k", "SELECT k, x FROM (VALUES (1, 5), (2, NULL), (3, 1)) AS v(k, x) ORDER BY x NULLS FIRST, k"),
+    "approx_aggregates": ("SELECT n_regionkey, approx_count_distinct(n_nationkey) AS n, percentile(n_nationkey, 0.5) AS m FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, count(DISTINCT n_nationkey) AS n, quantile_cont(n_nationkey, 0.5)::DOUBLE AS m FROM nation GROUP BY n_regionkey"),
+    "array_functions": ("SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names, element_at(array_sort(collect_list(n_nationkey)), -1) AS top FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, max(n_nationkey) AS top FROM nation GROUP BY n_regionkey"),
+    "fn_char_printf": ("SELECT n_nationkey, char(n_nationkey + 65, n_nationkey + 8364, n_nationkey + 128512) AS c, printf('%05d|%.2f|%s|%x', n_nationkey, n_regionkey / 4.0, n_name, n_nationkey * 100) AS f FROM nation", "SELECT n_nationkey, chr(n_nationkey + 65) || chr(n_nationkey + 8364) || chr(n_nationkey + 128512) AS c, printf('%05d|%.2f|%s|%x', n_nationkey, n_regionkey / 4.0, n_name, n_nationkey * 100) AS f FROM nation"),
     # JSON
+    "json_changes": ("SELECT event_id, json_set(props, '$.k', 0, '$.id', event_id) AS s, json_insert(props, '$.k', 0, '$.t', event_type) AS i, json_replace(props, '$.k', 7, '$.z', 1) AS r, json_remove(props, '$.k') AS d, json_patch(props, '{\"k\":null,\"p\":1}') AS p FROM events", "SELECT event_id, '{\"k\":0,\"id\":' || event_id || '}' AS s, '{\"k\":' || (props ->> '$.k') || ',\"t\":\"' || event_type || '\"}' AS i, '{\"k\":7}' AS r, '{}' AS d, '{\"p\":1}' AS p FROM events"),
+    "json_each_rows": ("SELECT event_id, j.key, CAST(j.value AS INTEGER) AS v, j.type FROM events, json_each(props) AS j", "SELECT event_id, 'k' AS key, (props ->> '$.k')::BIGINT AS v, 'integer' AS type FROM events"),
+    "json_group_object": ("SELECT n_regionkey, json_array_length(json_group_array(n_name)) AS n, json_extract(json_group_object(n_nationkey, n_name), '$.\"7\"') AS seven FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, count(*)::INTEGER AS n, max(CASE WHEN n_nationkey = 7 THEN n_name END) AS seven FROM nation GROUP BY n_regionkey"),
     "json_valid": ("SELECT json_valid('{\"a\": 1}') AS a, json_valid('{bad json') AS b, json_valid(NULL) AS c, count(*) AS n FROM events WHERE json_valid(props) = 1", "SELECT 1 AS a, 0 AS b, NULL::INTEGER AS c, count(*) AS n FROM events WHERE json_valid(props)"),
     "json_extract": ("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "json_extract_array": ("SELECT json_extract('{\"a\":{\"b\":42},\"c\":[10,20]}', '$.a.b') AS a, json_extract('{\"c\":[10,20]}', '$.c.1') AS b, json_extract('{\"t\":true}', '$.t') AS c, '{\"c\":[1,{\"d\":\"x\"}]}' ->> '$.c[1].d' AS d, '{\"c\":[1,2]}' -> '$.c' AS e", "SELECT '42' AS a, '20' AS b, '1' AS c, 'x' AS d, '[1,2]' AS e"),
@@ -242,14 +260,6 @@ def spatial_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spatial_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _boxes(spark, sf_dir).where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("a"), F.col("b").alias("x"))
-    b = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("b"), F.col("b").alias("y"))
-    # A box whose second side is negative is empty and touches nothing.
-    full = lambda c: F.col(c)[1]["hi"] >= F.col(c)[1]["lo"]
-    return spatial.overlap_join(a.where(full("x")), b.where(full("y")), "x", "y", 5.0).select("a", "b")
-
-
-def spatial_overlap_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All boxes with all boxes."""
     a = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("a"), F.col("b").alias("x"))
     b = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("b"), F.col("b").alias("y"))
@@ -286,8 +296,58 @@ def dml_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dialect function as a Column over a DataFrame."""
-    return _t(spark, sf_dir, "nation").select("n_nationkey", call("substr", "n_name", 2, 3).alias("x"))
+    """A user function of whole columns, called from the dialect."""
+    udf.vectorised(spark, "twice_and", lambda text, more: text.str.len() * 2 + more, "long")
+    return engine(spark, sf_dir, {"nation"}).query("SELECT n_nationkey, twice_and(n_name, n_regionkey) AS x FROM nation")
+
+
+class _Spread:
+    """An aggregate's state: the greatest less the least value."""
+
+    def __init__(self) -> None:
+        self.seen: list[int] = []
+
+    def step(self, value: int | None) -> None:
+        if value is not None:
+            self.seen = [min([value, *self.seen]), max([value, *self.seen])]
+
+    def finalize(self) -> int | None:
+        return int(self.seen[-1] - self.seen[0]) if self.seen else None
+
+
+def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    udf.aggregate(spark, "spread_of", _Spread, "long")
+    return engine(spark, sf_dir, {"nation"}).query("SELECT n_regionkey, spread_of(n_nationkey) AS spread FROM nation GROUP BY n_regionkey")
+
+
+def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    udf.table_function(spark, "count_to", lambda n: ((i,) for i in range(n + 1)), "i long")
+    return engine(spark, sf_dir, {"nation"}).query("SELECT n_nationkey, i FROM nation, LATERAL count_to(n_regionkey)")
+
+
+def _tables(used: set[str], *statements: str, then: str, args: list | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """A query after some statements, over tables of the folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, used)
+        for text in statements:
+            e.script(text)
+        return e.query(then, args)
+
+    return run
+
+
+def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, {"supplier"})
+    e.execute("UPDATE supplier SET s_acctbal = s_acctbal * 2 WHERE s_nationkey = 3 RETURNING s_suppkey, s_acctbal AS doubled")
+    return e.returned
+
+
+def change_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, {"nation"})
+    told = e.capture("nation", ["n_nationkey"])
+    e.script("DELETE FROM nation WHERE n_regionkey = 2; UPDATE nation SET n_name = lower(n_name) WHERE n_regionkey = 1; INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (99, 'NEW', 0)")
+    return told().select("op", "n_nationkey", "old_n_name", "new_n_name")
 
 
 #: Name: (plan, the other engine's SQL).
@@ -301,15 +361,29 @@ PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fts_match_all": (fts_match_all, "SELECT doc_id FROM documents WHERE list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x : lower(x)), 'the') AND list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x : lower(x)), 'that')"),
     "spatial_volume": (spatial_volume, "SELECT p_partkey, 3.0::DOUBLE * greatest(p_partkey % 7 - 1, 0) AS v FROM part"),
     "spatial_contains": (spatial_contains, "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size + 3 <= 30 AND p_partkey % 50 >= 5 AND p_partkey % 50 + p_partkey % 7 - 1 <= 40"),
-    "spatial_overlap_join": (spatial_overlap_join, "WITH t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 50 AS y, p_partkey % 50 + p_partkey % 7 - 1 AS z FROM part WHERE p_partkey % 7 >= 1) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.k % 20 = 0 AND a.x <= b.x + 3 AND b.x <= a.x + 3 AND a.y <= b.z AND b.y <= a.z"),
-    "spatial_overlap_join_all": (spatial_overlap_join_all, "WITH t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 50 AS y, p_partkey % 50 + p_partkey % 7 - 1 AS z FROM part WHERE p_partkey % 7 >= 1) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.x <= b.x + 3 AND b.x <= a.x + 3 AND a.y <= b.z AND b.y <= a.z"),
+    "spatial_overlap_join": (spatial_overlap_join, "WITH t AS (SELECT p_partkey AS k, p_size AS x, p_partkey % 50 AS y, p_partkey % 50 + p_partkey % 7 - 1 AS z FROM part WHERE p_partkey % 7 >= 1) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.x <= b.x + 3 AND b.x <= a.x + 3 AND a.y <= b.z AND b.y <= a.z"),
     "changeset_diff": (changeset_diff, "SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'delete' ELSE 'update' END AS op, s_suppkey, s_nationkey AS old_s_nationkey, CASE WHEN s_suppkey % 10 <> 0 THEN 99 END AS new_s_nationkey FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 7 = 0"),
     "dml_update": (_after("UPDATE supplier SET s_acctbal = 0, s_name = s_name || '!' WHERE s_nationkey < 5", table="supplier"), "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_name || '!' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey < 5 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier"),
     "dml_delete": (_after("DELETE FROM orders WHERE o_orderstatus = 'F' OR o_custkey < 100", table="orders"), "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' OR o_custkey < 100)"),
     "dml_insert_select": (_after("INSERT INTO region (r_name, r_regionkey) SELECT n_name, n_nationkey + 100 FROM region r, (VALUES ('X', 1), ('Y', 2)) AS v(n_name, n_nationkey) WHERE r.r_regionkey = 0", table="region"), "SELECT * FROM region UNION ALL SELECT * FROM (VALUES (101, 'X'), (102, 'Y')) v"),
     "dml_rollback": (dml_rollback, "SELECT * FROM region WHERE r_regionkey >= 2"),
+    "dml_delete_subquery": (_tables({"orders", "customer"}, "DELETE FROM customer WHERE c_nationkey < 20; DELETE FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) OR o_totalprice > (SELECT avg(c_acctbal) * 50 FROM customer)", then="SELECT o_orderkey FROM orders"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey >= 20) AND NOT o_totalprice > (SELECT avg(c_acctbal) * 50 FROM customer WHERE c_nationkey >= 20)"),
+    "dml_update_cte": (_tables({"customer", "orders"}, "WITH busy AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10) UPDATE customer AS c SET c_mktsegment = 'BUSY', c_acctbal = (SELECT max(n) FROM busy) WHERE c.c_custkey IN (SELECT k FROM busy)", then="SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"), "WITH busy AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10) SELECT c_custkey, CASE WHEN c_custkey IN (SELECT k FROM busy) THEN 'BUSY' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey IN (SELECT k FROM busy) THEN (SELECT max(n) FROM busy)::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer"),
+    "dml_update_from": (_tables({"supplier", "nation", "region"}, "UPDATE supplier SET s_name = r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE s_nationkey = n_nationkey AND r_name <> 'ASIA'", then="SELECT s_suppkey, s_name FROM supplier"), "SELECT s_suppkey, CASE WHEN r_name <> 'ASIA' THEN r_name || '/' || n_name ELSE s_name END AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "dml_rollback_drop": (_tables({"nation"}, "CREATE TABLE n2 AS SELECT n_nationkey AS k FROM nation; BEGIN; DROP TABLE n2; CREATE TABLE n2 (k INT); INSERT INTO n2 VALUES (1000); ROLLBACK", then="SELECT k FROM n2"), "SELECT n_nationkey AS k FROM nation"),
+    "insert_or_replace": (_tables({"supplier"}, "CREATE TABLE s (k INTEGER PRIMARY KEY, n TEXT); INSERT INTO s SELECT s_suppkey, s_name FROM supplier; INSERT OR REPLACE INTO s SELECT s_suppkey + 3, 'new ' || s_suppkey FROM supplier", then="SELECT k, n FROM s"), "SELECT s_suppkey AS k, s_name AS n FROM supplier WHERE s_suppkey - 3 NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey + 3, 'new ' || s_suppkey FROM supplier"),
+    "insert_or_ignore": (_tables({"supplier"}, "CREATE TABLE s (k INT UNIQUE, n TEXT); INSERT INTO s SELECT s_suppkey, s_name FROM supplier; INSERT OR IGNORE INTO s SELECT s_suppkey + 3, 'new' FROM supplier", then="SELECT k, n FROM s"), "SELECT s_suppkey AS k, s_name AS n FROM supplier UNION ALL SELECT s_suppkey + 3, 'new' FROM supplier WHERE s_suppkey + 3 NOT IN (SELECT s_suppkey FROM supplier)"),
+    "upsert_on_conflict": (_tables({"supplier"}, "CREATE TABLE s (k INT UNIQUE, n INT); INSERT INTO s SELECT s_suppkey, s_nationkey FROM supplier; INSERT INTO s SELECT s_suppkey + 3, 100 FROM supplier ON CONFLICT (k) DO UPDATE SET n = s.n + excluded.n WHERE s.n > 5", then="SELECT k, n FROM s"), "SELECT a.s_suppkey AS k, CASE WHEN b.s_suppkey IS NOT NULL AND a.s_nationkey > 5 THEN a.s_nationkey + 100 ELSE a.s_nationkey END::BIGINT AS n FROM supplier a LEFT JOIN supplier b ON b.s_suppkey + 3 = a.s_suppkey UNION ALL SELECT s_suppkey + 3, 100 FROM supplier WHERE s_suppkey + 3 NOT IN (SELECT s_suppkey FROM supplier)"),
+    "row_ids": (_tables({"region"}, "CREATE TABLE r (id INTEGER PRIMARY KEY, n TEXT); INSERT INTO r VALUES (40, 'first'); INSERT INTO r (n) SELECT r_name FROM region ORDER BY r_name", then="SELECT rowid AS id, n FROM r"), "SELECT 40 + row_number() OVER (ORDER BY r_name) AS id, r_name AS n FROM region UNION ALL SELECT 40, 'first'"),
+    "ddl_alter": (_tables({"region"}, "CREATE TABLE r AS SELECT r_regionkey AS k, r_name AS n FROM region; ALTER TABLE r ADD COLUMN extra INT DEFAULT 7; ALTER TABLE r RENAME COLUMN n TO name; ALTER TABLE r RENAME TO r2; INSERT INTO r2 (k, name) VALUES (9, 'X')", then="SELECT k, name, extra FROM r2"), "SELECT r_regionkey AS k, r_name AS name, 7::BIGINT AS extra FROM region UNION ALL SELECT 9, 'X', 7"),
+    "ddl_view": (_tables({"nation", "region"}, "CREATE VIEW asia AS SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'; CREATE VIEW asia2 AS SELECT upper(n_name) AS u FROM asia", then="SELECT u FROM asia2"), "SELECT upper(n_name) AS u FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    "dml_returning": (dml_returning, "SELECT s_suppkey, s_acctbal * 2 AS doubled FROM supplier WHERE s_nationkey = 3"),
+    "params_numbered": (_tables({"orders"}, then="SELECT o_orderkey, ?2 AS tag FROM orders WHERE o_orderstatus = ?1 AND o_custkey < ?3", args=["F", "late", 300]), "SELECT o_orderkey, 'late' AS tag FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 300"),
+    "change_capture": (change_capture, "SELECT CASE WHEN n_regionkey = 2 THEN 'delete' ELSE 'update' END AS op, n_nationkey, n_name AS old_n_name, CASE WHEN n_regionkey = 1 THEN lower(n_name) END AS new_n_name FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT 'insert', 99, NULL, 'NEW'"),
     "upsert_replace": (upsert_replace, "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey + 2 FROM supplier WHERE s_suppkey % 4 = 0) UNION ALL SELECT s_suppkey + 2, s_nationkey + 100 FROM supplier WHERE s_suppkey % 4 = 0"),
-    "udf_scalar": (udf_scalar, "SELECT n_nationkey, substr(n_name, 2, 3) AS x FROM nation"),
+    "udf_scalar": (udf_scalar, "SELECT n_nationkey, length(n_name) * 2 + n_regionkey AS x FROM nation"),
+    "udf_aggregate": (udf_aggregate, "SELECT n_regionkey, max(n_nationkey) - min(n_nationkey) AS spread FROM nation GROUP BY n_regionkey"),
+    "udf_table": (udf_table, "SELECT n_nationkey, unnest(generate_series(0, n_regionkey)) AS i FROM nation"),
 }
 
 

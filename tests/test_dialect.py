@@ -18,7 +18,7 @@ from pyspark.sql import types as T
         ("SELECT a ISNULL, a NOTNULL, a NOT NULL", "SELECT a IS NULL , a IS NOT NULL , a IS NOT NULL"),
         ("SELECT 20 / 4, 20.0 / 4", "SELECT 20 DIV 4 , 20.0D / 4"),
         ("SELECT 'it''s', 'a\\b'", "SELECT 'it\\'s' , 'a\\\\b'"),
-        ("SELECT a FROM t WHERE b = ?1 AND c = :x AND d = @y", "SELECT a FROM t WHERE b = ? AND c = :x AND d = :y"),
+        ("SELECT a FROM t WHERE b = ?1 AND c = :x AND d = @y", "SELECT a FROM t WHERE b = :_1 AND c = :x AND d = :y"),
         ("SELECT max(a), max(a, b)", "SELECT max(a) , greatest(a, b)"),
         ("SELECT a -- note\n/* more */ FROM t", "SELECT a FROM t"),
         ("SELECT a != b", "SELECT a <> b"),
