@@ -101,24 +101,28 @@ class Pieces:
             open_ = open_[(out[open_] < 0) & (self.ids[at] >= 0)]
         return out
 
-    def starts(self, buffer: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    def starts(self, buffer: np.ndarray, lengths: np.ndarray) -> dict[int, np.ndarray]:
         """By size, for each byte the piece of that many bytes that starts there, or the number of pieces.
 
-        Sizes of which no piece occurs, and those over ``longest``, are left out.
+        The buffer holds words of these lengths one after another; no piece reaches across two.
+        Sizes of which no piece occurs are left out.
         """
         none, n = len(self.pieces), len(buffer)
         out = {}
         wide = buffer.astype(np.uint64) + np.uint64(1)
-        key = np.zeros(n, dtype=np.uint64)
-        for size in range(1, min(longest, self.longest, n) + 1):
-            key = key[: n - size + 1] * _RADIX + wide[size - 1 :]
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # bytes to the word's end
+        at, key = np.arange(n), np.zeros(n, dtype=np.uint64)
+        for size in range(1, min(int(lengths.max(initial=0)), self.longest) + 1):
+            on = left[at] >= size
+            at, key = at[on], key[on]
+            key = key * _RADIX + wide[at + (size - 1)]
             if size not in self.sizes:
                 continue
             found = self.find(key)
-            if found.max(initial=-1) >= 0:
-                now = np.full(n, none, dtype=np.int32)
-                now[: n - size + 1] = np.where(found < 0, none, found)
-                out[size] = now
+            some = found >= 0
+            if some.any():
+                out[size] = np.full(n, none, dtype=np.int32)
+                out[size][at[some]] = found[some]
         return out
 
 
@@ -145,17 +149,24 @@ def forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
         log[w] = _forward_long(buffer[starts[w] : starts[w] + lengths[w]], pieces, p)
     rest, at = lengths[long:], starts[long:]
     longest = int(rest[0]) if len(rest) else 0
-    found = pieces.starts(buffer, longest)
+    by_place = np.empty(len(words), dtype=np.int64)
+    by_place[order] = lengths
+    found = pieces.starts(buffer, by_place)
     history = max(found, default=1)
     alphas = [np.ones((len(rest), langs))]
     active = len(rest) - np.searchsorted(rest[::-1], np.arange(longest + 2), side="left")
+    dense, sparse = _parted(found, at, rest, len(p) - 1)
     for j in range(1, longest + 1):
         n = int(active[j])
         now = np.zeros((n, langs))
-        for size, ids in found.items():
+        for size, ids in dense.items():
             if size > j:
                 break
             now += alphas[-size][:n] * p[ids[at[:n] + (j - size)]]
+        for size, (ends, rows, ids) in sparse.items():
+            a, b = ends[j], ends[j + 1]
+            if a < b:
+                now[rows[a:b]] += alphas[-size][rows[a:b]] * p[ids[a:b]]
         if j % 16 == 0:
             scale = now.copy()
             log[long : long + n] += np.log(scale)
@@ -171,8 +182,31 @@ def forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parted(found: dict[int, np.ndarray], starts: np.ndarray, lengths: np.ndarray, none: int) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Sizes whose pieces occur at many places as they are; of the others the places alone.
+
+    Of those (first of each end, words, pieces) in the order of the piece's end in its word.
+    """
+    dense, sparse = {}, {}
+    order = np.argsort(starts)
+    longest = int(lengths.max(initial=0))
+    for size, ids in found.items():
+        at = np.flatnonzero(ids != none)
+        if len(at) * 8 > len(ids):
+            dense[size] = ids
+            continue
+        word = order[np.maximum(np.searchsorted(starts[order], at, side="right") - 1, 0)] if len(order) else at[:0]
+        at = at[: len(word)]
+        end = at - starts[word] + size
+        inside = (end >= size) & (end <= lengths[word])
+        at, word, end = at[inside], word[inside], end[inside]
+        by = np.argsort(end, kind="stable")
+        sparse[size] = np.searchsorted(end[by], np.arange(longest + 2)), word[by], ids[at[by]]
+    return dense, sparse
+
+
 def _forward_long(word: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    found = pieces.starts(word, len(word))
+    found = pieces.starts(word, np.array([len(word)]))
     sizes = np.array(list(found), dtype=np.int64)
     history, n = int(sizes.max()), len(word)
     table_ = np.stack(list(found.values()))  # by size and start
@@ -196,7 +230,7 @@ def expected(words: list[bytes], weights: np.ndarray, pieces: Pieces, p: np.ndar
     order, lengths, starts, buffer = _layout(words)
     weights = weights[order]
     longest = int(lengths[0]) if len(lengths) else 0
-    found = pieces.starts(buffer, longest)
+    found = pieces.starts(buffer, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
     active = len(words) - np.searchsorted(lengths[::-1], np.arange(longest + 2), side="left")
     with np.errstate(divide="ignore"):
         logp = np.maximum(np.log(p[:, 0]), _NEVER)

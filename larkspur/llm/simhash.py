@@ -16,9 +16,10 @@ Documents that candidates connect make a block, whose texts meet in one task; th
 similarity decides.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and link
-to one another; equal fingerprints are one class; a null id takes no part and gets a null
-component; rows that share an id are one document; an empty table gives no rows; other columns
-are not read.
+to one another; equal fingerprints are one class, and a bit that half of the hashes have is not
+set; a null id takes no part and gets a null component; rows that share an id, repeated ones too,
+are one document; a very long text is hashed whole; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -197,17 +198,24 @@ def links(classes: DataFrame, radius: int = 4) -> DataFrame:
     schema = T.StructType([T.StructField("u", classes.schema["id"].dataType), T.StructField("v", classes.schema["id"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []  # of the shard that may go on
+        last = None
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rest = now if rest is None else pa.concat_tables([rest, now])
-            m, k = rest.column("m").to_numpy(), rest.column("k").to_numpy()
+            if not batch.num_rows:
+                continue
+            m, k = batch.column("m").to_numpy(), batch.column("k").to_numpy()
             cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
+            if held and (m[0], k[0]) != last:
+                yield from shards(pa.Table.from_batches(held), np.zeros(0, dtype=np.int64))
+                held = []
             if len(cut):
-                yield from shards(rest.slice(0, int(cut[-1])), cut[:-1])
-                rest = rest.slice(int(cut[-1])).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield from shards(rest, np.zeros(0, dtype=np.int64))
+                head = sum(b.num_rows for b in held)
+                yield from shards(pa.Table.from_batches([*held, batch.slice(0, int(cut[-1]))]), cut[:-1] + head)
+                held, batch = [], batch.slice(int(cut[-1]))
+            held.append(batch)
+            last = (m[-1], k[-1])
+        if held:
+            yield from shards(pa.Table.from_batches(held), np.zeros(0, dtype=np.int64))
 
     def shards(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         fps, ids = rows.column("fp").to_numpy().view(np.uint64), rows.column("id").to_numpy()
@@ -321,7 +329,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (similarity 0.8) the document with the smallest id stays."""
+    """Pipeline stage: of each group of near duplicates (similarity 0.8) the document with the smallest id stays.
+
+    Rows that share that id, repeated ones too, all stay, as do rows with a null id; texts without
+    words are one group; see the module for long texts and an empty table; all columns are kept.
+    """
     gone = groups(docs, shingle=WORDS).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
