@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+import corpus_pipeline
 
-MODULES = ["mixing", "simhash", "suffixdedup", "ppm", "tokens", "langid", "html", "decontaminate", "quality", "ann"]
+from . import ann, decontaminate, html, langid, mixing, ppm, quality, simhash, suffixdedup, tokens
 
+MODULES = (mixing, simhash, suffixdedup, ppm, tokens, langid, html, decontaminate, quality, ann)
 
-def queries() -> dict:
-    import corpus_pipeline
 
+def queries() -> dict:
     out = {"pipeline": corpus_pipeline.run}
-    for name in MODULES:
-        out |= import_module(f"{__package__}.{name}").QUERIES
+    for module in MODULES:
+        out |= module.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for name in MODULES:
-        out |= getattr(import_module(f"{__package__}.{name}"), "ORACLE_SQL", {})
+    for module in MODULES:
+        out |= getattr(module, "ORACLE_SQL", {})
     return out
