@@ -36,15 +36,30 @@ def unique(events: DataFrame, at: str, late: str, keys: list[str]) -> DataFrame:
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def change_feed(changes: DataFrame, target: str, key: list[str], checkpoint: str, version: Callable[[int], str] | None = None) -> StreamingQuery:
-    """Merge each micro-batch of rows into a versioned table under ``target``: <target>/v<batch>."""
+def change_feed(changes: DataFrame, target: str, key: list[str], checkpoint: str, version: Callable[[int], str] | None = None, order: str | None = None, op: str | None = None) -> StreamingQuery:
+    """Merge each micro-batch of rows into a versioned table under ``target``: <target>/v<batch>.
+
+    Of a batch's rows with one key the last by ``order`` counts (without it, any one).  Where the
+    column ``op`` says ``delete``, the key's row goes; that column is not kept.  A batch that runs
+    again after a failure writes the same version anew.
+    """
     place = version or (lambda n: f"{target}/v{n}")
 
     def put(batch: DataFrame, n: int) -> None:
-        new = batch.dropDuplicates(key)
-        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in key]
+        new = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*") if order and rest else batch.dropDuplicates(key)
+        gone = F.coalesce(F.lower(F.col(op)) == "delete", F.lit(False)) if op else F.lit(False)
+        put_ = new.where(~gone).drop(*([op] if op else []))
         if n:
-            new = upserted(spark.read.parquet(place(n - 1)), new, key)
-        new.write.mode("overwrite").parquet(place(n))
+            old = batch.sparkSession.read.parquet(place(n - 1))
+            old = old.join(new.where(gone).select(*key), key, "left_anti").select(old.columns) if op else old
+            put_ = upserted(old, put_.select(old.columns), key)
+        put_.write.mode("overwrite").parquet(place(n))
 
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def joined(left: DataFrame, right: DataFrame, at: tuple[str, str], late: tuple[str, str], on: str, within: str) -> DataFrame:
+    """Inner join of two streams on ``on`` where the right event is at most ``within`` after the left; state goes with the watermarks."""
+    a, b = left.withWatermark(at[0], late[0]), right.withWatermark(at[1], late[1])
+    return a.join(b, F.expr(f"{on} AND {at[1]} >= {at[0]} AND {at[1]} <= {at[0]} + INTERVAL {within}"))
