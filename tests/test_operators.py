@@ -127,5 +127,5 @@ def test_spatial_join_all(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     boxes = [(k, x, x + 3, k % 50, k % 50 + k % 7 - 1) for k, x in parts if k % 7]
     want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
-    got = sorted((r.a, r.b) for r in q.queries()["spatial_overlap_join_all"](spark, str(tmp_path)).collect())
+    got = sorted((r.a, r.b) for r in q.queries()["spatial_overlap_join"](spark, str(tmp_path)).collect())
     assert got == want and any(a % 20 for a, _ in got)
