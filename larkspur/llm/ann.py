@@ -5,6 +5,10 @@ the Hilbert index of their grid cell.  A curve's order is range-partitioned; eve
 its place in it.  A query is compared with the vectors whose places lie within a window around
 its own on any of the curves; the windows' best are merged and reranked by the exact distance.
 
+The curves carry a byte for each component in place of a double, with the length of what that
+rounding lost.  It bounds the exact distance from both sides, so a window leaves out only what
+cannot be among its k nearest, and the vectors themselves are joined to the few that remain.
+
 The window is a share of the index, the same at every size: on vectors without structure the
 neighbours of a point spread along a curve in proportion to all points, so a window of a fixed
 number of places would lose recall as the index grows.
@@ -38,6 +42,8 @@ BITS = 6
 WINDOW = 0.02
 LEAST = 256
 SEED = 11
+#: More than what arithmetic on doubles adds to a distance, as a share of it.
+ROUNDING = 1e-9
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -74,6 +80,13 @@ def curve(c: int, size: int, dimensions: int, seed: int) -> tuple[np.ndarray, np
     return np.linalg.qr(rng.normal(size=(size, m)))[0], rng.random(m)
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row as bytes, their unit, and the length of the difference."""
+    unit = np.abs(x).max(axis=1, initial=0.0) / 127
+    code = np.rint(x / np.where(unit > 0, unit, 1.0)[:, None]).astype(np.int8)
+    return code, unit, np.sqrt(((x - code * unit[:, None]) ** 2).sum(axis=1))
+
+
 def valid(vectors: DataFrame, vector: str, key: str) -> tuple[DataFrame, int]:
     """(id, vec: little-endian doubles) of the vectors that take part, and their length."""
     v = F.col(vector).cast("array<double>")
@@ -97,19 +110,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     n = entries.count()
     sides = entries.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var")).orderBy("i").collect()
     middle = np.array([r["mean"] for r in sides])
+    offset = float(np.sqrt((middle**2).sum()))
     # The grid spans three standard deviations on each side; cells beyond it are clipped.
     scale = 6 * float(np.sqrt(np.mean([r["var"] for r in sides]))) if sides else 1.0
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [curve(c, size, dimensions, seed) for c in range(curves)]
         for batch in batches:
-            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size) - middle
+            v = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+            x = v - middle
+            code, unit, lost = coded(x)
+            asked_ = batch.column("asked").to_numpy(zero_copy_only=False)
+            rest = [batch.column("entry"), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(unit), pa.array(lost), pa.array([r if a else None for a, r in zip(asked_, x, strict=True)], pa.list_(pa.float64()))]
             for c, (axes, shift) in enumerate(made):
                 y = (x @ axes) / (scale or 1.0) + 0.5  # about 0 to 1
                 cells = np.clip(((y + shift) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, dtype=np.int32)), pa.array(hilbert(cells, bits)), *(batch.column(i) for i in ("entry", "ids", "vec", "asked"))], names=["curve", "key", "entry", "ids", "vec", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, dtype=np.int32)), pa.array(hilbert(cells, bits)), *rest], names=["curve", "key", *kinds])
 
-    kind = "entry long, ids array<long>, vec array<double>, asked boolean"
+    kinds = ("entry", "code", "unit", "lost", "asked")
+    kind = "entry long, code binary, unit double, lost double, asked array<double>"
     keyed = entries.mapInArrow(keys, f"curve int, key long, {kind}") if n else spark.createDataFrame([], f"curve int, key long, {kind}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "entry").sortWithinPartitions("curve", "key", "entry")
@@ -121,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
             start = np.searchsorted(c, np.arange(curves))
             row = np.arange(len(c)) - start[c] + seen[c]
             seen += np.bincount(c, minlength=curves)
-            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(len(c), part, dtype=np.int32)), pa.array(row), *(batch.column(i) for i in ("entry", "ids", "vec", "asked"))], names=["curve", "part", "row", "entry", "ids", "vec", "asked"])
+            yield pa.RecordBatch.from_arrays([batch.column("curve"), pa.array(np.full(len(c), part, dtype=np.int32)), pa.array(row), *(batch.column(i) for i in kinds)], names=["curve", "part", "row", *kinds])
 
     ordered = durable(ordered.mapInArrow(number, f"curve int, part int, row long, {kind}"), "curves")
     # One row for each partition and curve.
@@ -130,27 +149,43 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "emb
     placed = ordered.join(F.broadcast(sizes.select("curve", "part", before.alias("before"))), ["curve", "part"]).withColumn("place", F.col("before") + F.col("row"))
     wide = max(least, int(np.ceil(window * n)))
     block = F.floor(F.col("place") / wide)
-    held = placed.select(F.col("curve").alias("c"), block.alias("b"), F.col("place").alias("p"), F.col("entry").alias("e"), "ids", F.col("vec").alias("v"))
-    reached = placed.where("asked").select("curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), "place", "entry", "vec")
+    held = placed.select(F.col("curve").alias("c"), block.alias("b"), F.col("place").alias("p"), F.col("entry").alias("e"), "code", "unit", "lost")
+    reached = placed.where("asked IS NOT NULL").select("curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), "place", "entry", "asked")
 
     def near(queries: pa.Table, found: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple] = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),) * 2]
         if queries.num_rows and found.num_rows:
-            x = found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, size)
-            places, entries_ = found.column("p").to_numpy(), found.column("e").to_numpy()
-            ids = found.column("ids").to_pylist()
-            q = queries.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(queries.num_rows, size)
+            code = np.frombuffer(b"".join(found.column("code").to_pylist()), dtype=np.int8).reshape(found.num_rows, size)
+            x = code * found.column("unit").to_numpy()[:, None]
+            lost = found.column("lost").to_numpy()
+            places, others = found.column("p").to_numpy(), found.column("e").to_numpy()
+            q = queries.column("asked").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(queries.num_rows, size)
             for i, (entry, place) in enumerate(zip(queries.column("entry").to_pylist(), queries.column("place").to_pylist(), strict=True)):
                 at = np.flatnonzero(np.abs(places - place) <= wide)
-                score = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                for j in np.lexsort((entries_[at], score))[: k + 1]:
-                    out += [(entry, id_, float(score[j])) for id_ in ids[at[j]]]
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["entry", "vec_id", "score"])
-
-    pairs = reached.groupBy("curve", "block").cogroup(held.groupBy("c", "b")).applyInArrow(near, "entry long, vec_id long, score double").distinct()
-    # An entry needs k + 1 ids, as one of them may be the query's own.
+                if not len(at):
+                    continue
+                about = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+                slack = lost[at] + ROUNDING * (about + lost[at] + offset)
+                # What overflows is bounded by nothing.
+                least_, most = np.nan_to_num(about - slack, nan=0.0), np.nan_to_num(about + slack, nan=np.inf, posinf=np.inf)
+                # Each entry has an id at least, and one may be the query's own.
+                limit = np.partition(most, k)[k] if len(at) > k else np.inf
+                kept = np.flatnonzero(least_ <= limit)
+                out.append((np.full(len(kept), entry), others[at[kept]], least_[kept], most[kept]))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["entry", "other", "least", "most"])
+
+    pairs = reached.groupBy("curve", "block").cogroup(held.groupBy("c", "b")).applyInArrow(near, "entry long, other long, least double, most double")
+    pairs = pairs.groupBy("entry", "other").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    # The k + 1 smallest upper bounds of an entry's candidates bound what can be among its nearest.
+    ahead = F.row_number().over(Window.partitionBy("entry").orderBy("most", "other"))
+    limit = F.max(F.when(F.col("n") == k + 1, F.col("most"))).over(Window.partitionBy("entry"))
+    pairs = pairs.withColumn("n", ahead).withColumn("limit", limit).where("limit IS NULL OR least <= limit").select("entry", "other")
+    theirs = entries.select(F.col("entry").alias("other"), "ids", F.col("vec").alias("there"))
+    here = entries.where("asked").select("entry", F.col("vec").alias("here"))
+    exact = F.sqrt(F.aggregate(F.zip_with("here", "there", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, d: total + d))
+    scored = pairs.join(theirs, "other").join(here, "entry").select("entry", F.explode("ids").alias("vec_id"), exact.alias("score"))
     best = F.row_number().over(Window.partitionBy("entry").orderBy("score", "vec_id"))
-    top = pairs.withColumn("n", best).where(F.col("n") <= k + 1).drop("n")
+    top = scored.withColumn("n", best).where(F.col("n") <= k + 1).drop("n")
     who = asked.join(entries.where("asked").select("vec", "entry"), "vec").select("query_id", "entry")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     out = who.join(top, "entry").where("query_id <> vec_id").withColumn("rank", rank).where(F.col("rank") <= k)
