@@ -41,8 +41,18 @@ def coalesced(*xs: str) -> str:
     return f"coalesce({', '.join(xs)})" if xs else "NULL"
 
 
+def truth(x: str) -> str:
+    """A value as a condition."""
+    return f"(CASE WHEN typeof({x}) = 'string' THEN length(cast({x} AS string)) > 0 ELSE try_cast({x} AS double) <> 0 END)"
+
+
 def iif(test: str, yes: str, no: str = "NULL") -> str:
-    return f"CASE WHEN {test} THEN {yes} ELSE {no} END"
+    return f"CASE WHEN {truth(test)} THEN {yes} ELSE {no} END"
+
+
+def randomblob(n: str) -> str:
+    # 32 bytes from each digest of a random identifier.
+    return f"substring(unhex(array_join(transform(sequence(0, cast(greatest({n}, 1) AS int) div 32), (x, i) -> sha2(concat(uuid(), cast(i AS string)), 256)), '')), 1, cast(greatest({n}, 1) AS int))"
 
 
 def same(x: str) -> str:
@@ -75,6 +85,7 @@ TEMPLATES = {
     "unlikely": same,
     "likelihood": likelihood,
     "random": random,
+    "randomblob": randomblob,
     "log": log,
     "ceiling": lambda x: f"ceil({x})",
     "trunc": lambda x: f"CASE WHEN ({x}) < 0 THEN ceil({x}) ELSE floor({x}) END",

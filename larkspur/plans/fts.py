@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EngineError
+from ..errors import EngineError, ParseError, SchemaError
 
 K1, B = 1.2, 0.75
 
+_LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
+
 #: Tokenizers by name: a text column to an array of tokens.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {}
 
@@ -76,6 +80,80 @@ class Index:
         return (out.where(F.col("held") == len(wanted)) if every else out).select("doc", "score")
 
 
+_QUERY = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()+:*])|([^\s()"+:*]+))')
+
+
+def matching(columns: list[str], query: str) -> str:
+    """SQL for ``columns MATCH query``: terms, phrases, prefixes, ``column:``, AND, OR, NOT, parentheses.
+
+    A term may be in any of the columns.  Adjacent terms are joined by AND; NOT binds before AND,
+    and AND before OR.  A phrase without a token matches nothing.
+    """
+    words: list[tuple[str, str]] = []  # (kind, text): "phrase", "word" or the sign itself
+    at, query = 0, query.rstrip()
+    while at < len(query):
+        m = _QUERY.match(query, at)
+        if m is None:
+            raise ParseError(f"a quote is not closed: {query}")
+        words.append(("phrase", m[1].replace('""', '"')) if m[1] is not None else (m[2], m[2]) if m[2] else ("word", m[3]))
+        at = m.end()
+
+    def peek(k: int = 0) -> tuple[str, str]:
+        return words[k] if k < len(words) else ("", "")
+
+    def either(among: list[str]) -> str:
+        out = both(among)
+        while peek() == ("word", "OR"):
+            words.pop(0)
+            out = f"({out} OR {both(among)})"
+        return out
+
+    def both(among: list[str]) -> str:
+        out = without(among)
+        while peek()[0] in ("word", "phrase", "(") and peek() != ("word", "OR"):
+            if peek() == ("word", "AND"):
+                words.pop(0)
+            out = f"({out} AND {without(among)})"
+        return out
+
+    def without(among: list[str]) -> str:
+        out = primary(among)
+        while peek() == ("word", "NOT"):
+            words.pop(0)
+            out = f"({out} AND NOT {primary(among)})"
+        return out
+
+    def primary(among: list[str]) -> str:
+        kind, text = words.pop(0) if words else ("", "")
+        if kind == "(":
+            out = either(among)
+            if not words or words.pop(0)[0] != ")":
+                raise ParseError(f"a parenthesis is not closed: {query}")
+            return out
+        if kind not in ("word", "phrase") or kind == "word" and text in ("AND", "OR", "NOT", "NEAR"):
+            raise ParseError(f"a term was expected in the query: {query}")
+        if peek()[0] == ":":
+            words.pop(0)
+            only = [c for c in among if c.strip("`").lower() == text.lower()]
+            if not only:
+                raise SchemaError(f"no such column: {text}")
+            return primary(only)
+        while peek()[0] == "+" and peek(1)[0] in ("word", "phrase"):
+            text += " " + words[1][1]
+            del words[:2]
+        found = re.findall("[a-z0-9]+", text.translate(_LOWER))
+        prefix = peek()[0] == "*" and bool(words.pop(0))
+        if not found:
+            return "false"
+        sought = " " + " ".join(found) + ("" if prefix else " ")
+        return "(" + " OR ".join(f"coalesce(instr(concat(' ', regexp_replace(translate(cast({c} AS string), '{ascii_uppercase}', '{ascii_lowercase}'), '[^a-z0-9]+', ' '), ' '), '{sought}') > 0, false)" for c in among) + ")"
+
+    out = either(columns) if words else "false"
+    if words:
+        raise ParseError(f"text goes on after the query: {query}")
+    return out
+
+
 def bm25(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column) -> Column:
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))

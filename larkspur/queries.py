@@ -23,6 +23,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 FLAGSHIP = "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty FROM lineitem WHERE l_quantity > 45 AND (l_discount < 0.03 OR l_tax = 0.02) GROUP BY l_returnflag, l_linestatus HAVING sum(l_quantity) > 10 ORDER BY l_returnflag, l_linestatus"
 
+#: A text as its tokens, with a space on each side.
+_TOKENS = "' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g') || ' '"
+
 #: Name: (dialect, other engine's SQL or None where the same text serves).
 SQL: dict[str, tuple[str, str | None]] = {
     "flagship": (FLAGSHIP, None),
@@ -173,6 +176,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "filter_truthy": ("SELECT p_partkey FROM part WHERE p_size % 3 AND NOT p_size % 4 OR p_size - 7 AND p_size % 5 = 0", "SELECT p_partkey FROM part WHERE p_size % 3 <> 0 AND NOT p_size % 4 <> 0 OR p_size - 7 <> 0 AND p_size % 5 = 0"),
     "truth_as_value": ("SELECT n_nationkey, CASE WHEN n_regionkey THEN 'some' ELSE 'none' END AS k, n_regionkey > 1 AND n_nationkey % 2 AS b FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey <> 0 THEN 'some' ELSE 'none' END AS k, n_regionkey > 1 AND n_nationkey % 2 <> 0 AS b FROM nation"),
     "having_truthy": ("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING sum(n_nationkey) % 2", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING sum(n_nationkey) % 2 <> 0"),
+    "iif_truth": ("SELECT n_nationkey, iif(n_regionkey, 'some', 'none') AS x FROM main.nation WHERE main.nation.n_nationkey <> 3", "SELECT n_nationkey, CASE WHEN n_regionkey <> 0 THEN 'some' ELSE 'none' END AS x FROM nation WHERE n_nationkey <> 3"),
+    "match_operator": ("SELECT doc_id FROM documents WHERE text MATCH 'the NOT that* OR \"of the\"'", f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS p FROM documents) WHERE contains(p, ' the ') AND NOT contains(p, ' that') OR contains(p, ' of the ')"),
     "in_table": ("WITH wanted AS (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') SELECT n_name FROM nation WHERE n_regionkey IN wanted", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name ILIKE 'A%')"),
     "limit_negative": ("SELECT r_name FROM region ORDER BY r_name LIMIT -1", "SELECT r_name FROM region ORDER BY r_name"),
     "win_groups_sql": ("SELECT p_partkey, count(*) OVER w AS n, sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)", "SELECT p_partkey, count(*) OVER w AS n, (sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size DESC GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW))::BIGINT AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
@@ -376,6 +381,9 @@ PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "upsert_on_conflict": (_tables({"supplier"}, "CREATE TABLE s (k INT UNIQUE, n INT); INSERT INTO s SELECT s_suppkey, s_nationkey FROM supplier; INSERT INTO s SELECT s_suppkey + 3, 100 FROM supplier ON CONFLICT (k) DO UPDATE SET n = s.n + excluded.n WHERE s.n > 5", then="SELECT k, n FROM s"), "SELECT a.s_suppkey AS k, CASE WHEN b.s_suppkey IS NOT NULL AND a.s_nationkey > 5 THEN a.s_nationkey + 100 ELSE a.s_nationkey END::BIGINT AS n FROM supplier a LEFT JOIN supplier b ON b.s_suppkey + 3 = a.s_suppkey UNION ALL SELECT s_suppkey + 3, 100 FROM supplier WHERE s_suppkey + 3 NOT IN (SELECT s_suppkey FROM supplier)"),
     "row_ids": (_tables({"region"}, "CREATE TABLE r (id INTEGER PRIMARY KEY, n TEXT); INSERT INTO r VALUES (40, 'first'); INSERT INTO r (n) SELECT r_name FROM region ORDER BY r_name", then="SELECT rowid AS id, n FROM r"), "SELECT 40 + row_number() OVER (ORDER BY r_name) AS id, r_name AS n FROM region UNION ALL SELECT 40, 'first'"),
     "ddl_alter": (_tables({"region"}, "CREATE TABLE r AS SELECT r_regionkey AS k, r_name AS n FROM region; ALTER TABLE r ADD COLUMN extra INT DEFAULT 7; ALTER TABLE r RENAME COLUMN n TO name; ALTER TABLE r RENAME TO r2; INSERT INTO r2 (k, name) VALUES (9, 'X')", then="SELECT k, name, extra FROM r2"), "SELECT r_regionkey AS k, r_name AS name, 7::BIGINT AS extra FROM region UNION ALL SELECT 9, 'X', 7"),
+    "virtual_table_texts": (_tables({"documents"}, "CREATE VIRTUAL TABLE d USING fts5(source, text); INSERT INTO d SELECT source, text FROM documents", then="SELECT source, count(*) AS n FROM d WHERE d MATCH 'text: (the OR que) AND a*' GROUP BY source"), f"SELECT source, count(*) AS n FROM (SELECT source, {_TOKENS} AS p FROM documents) WHERE (contains(p, ' the ') OR contains(p, ' que ')) AND contains(p, ' a') GROUP BY source"),
+    "virtual_table_boxes": (_tables({"part"}, "CREATE VIRTUAL TABLE b USING rtree(id, x0, x1); INSERT INTO b SELECT p_partkey, p_size, p_size + 3 FROM part", then="SELECT id FROM b WHERE x1 >= 20 AND x0 <= 22"), "SELECT p_partkey AS id FROM part WHERE p_size + 3 >= 20 AND p_size <= 22"),
+    "generated_columns": (_tables({"supplier"}, "CREATE TABLE s (k INTEGER PRIMARY KEY, n INT REFERENCES nation(n_nationkey) ON DELETE CASCADE, twice INT GENERATED ALWAYS AS (n * 2) STORED, tag TEXT AS (k || '/' || n)); INSERT INTO s SELECT s_suppkey, s_nationkey FROM supplier; UPDATE s SET n = n + 100 WHERE k % 3 = 0", then="SELECT k, n, twice, tag FROM s"), "SELECT k, n, n * 2 AS twice, k || '/' || n AS tag FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS n FROM supplier)"),
     "ddl_view": (_tables({"nation", "region"}, "CREATE VIEW asia AS SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'; CREATE VIEW asia2 AS SELECT upper(n_name) AS u FROM asia", then="SELECT u FROM asia2"), "SELECT upper(n_name) AS u FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "dml_returning": (dml_returning, "SELECT s_suppkey, s_acctbal * 2 AS doubled FROM supplier WHERE s_nationkey = 3"),
     "params_numbered": (_tables({"orders"}, then="SELECT o_orderkey, ?2 AS tag FROM orders WHERE o_orderstatus = ?1 AND o_custkey < ?3", args=["F", "late", 300]), "SELECT o_orderkey, 'late' AS tag FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 300"),
