@@ -29,15 +29,55 @@ def overlaps(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(sides, lambda x: F.coalesce(x, F.lit(False)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float) -> DataFrame:
-    """Pairs of overlapping boxes, each once, by a grid on the first dimension.
+#: Boxes of a side that meet in one block of ``overlap_join``, about.
+BLOCK = 2048
 
-    Both sides are dealt to the cells they touch; a pair counts in the cell of the greater start.
+
+def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float | tuple[float, ...], sides: int | None = None) -> DataFrame:
+    """Pairs of overlapping boxes, each once, by a grid on the first dimensions: one for each size in ``cell``.
+
+    Both sides are dealt to the cells they touch; a pair counts in the cell of the greater starts.
+    Where more than ``BLOCK`` boxes touch a cell each side is cut by a hash of its rows, and every
+    cut meets every cut of the other side in a block of its own, so no task holds a whole crowded
+    cell.  With ``sides`` only boxes of so many sides take part, whose test is then generated code.
     """
-    grid = lambda c: F.explode(F.sequence(F.floor(F.col(c)[0]["lo"] / cell), F.floor(F.col(c)[0]["hi"] / cell)))
-    pairs = left.withColumn("__cell", grid(a)).join(right.withColumn("__cell", grid(b)), "__cell")
-    first = F.floor(F.greatest(F.col(a)[0]["lo"], F.col(b)[0]["lo"]) / cell)
-    return pairs.where((F.col("__cell") == first) & overlaps(F.col(a), F.col(b))).drop("__cell")
+    sizes = cell if isinstance(cell, tuple) else (cell,)
+    flat = range(len(sizes) if sides is None else sides)
+    cells = [f"__c{d}" for d in range(len(sizes))]
+
+    def dealt(df: DataFrame, box_: str, s: str) -> DataFrame:
+        row = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        df = df if sides is None else df.where(F.size(box_) == sides)
+        df = df.withColumn(f"__hash{s}", F.xxhash64(*row))
+        for d in flat:
+            df = df.withColumns({f"__lo{s}{d}": F.get(box_, F.lit(d))["lo"], f"__hi{s}{d}": F.get(box_, F.lit(d))["hi"]})
+        for d, size in enumerate(sizes):
+            df = df.withColumn(cells[d], F.explode(F.sequence(F.floor(F.col(f"__lo{s}{d}") / size), F.floor(F.col(f"__hi{s}{d}") / size))))
+        return df
+
+    one, two = dealt(left, a, "l"), dealt(right, b, "r")
+    cuts = lambda df, as_: df.groupBy(*cells).agg(F.ceil(F.count("*") / BLOCK).alias(as_))
+    # At most one cell for each BLOCK rows, so few enough to send to all.
+    crowded = F.broadcast(cuts(one, "__cutsl").join(cuts(two, "__cutsr"), cells).where("__cutsl > 1 OR __cutsr > 1"))
+
+    def blocks(df: DataFrame, s: str, other: str) -> DataFrame:
+        df = df.join(crowded, cells, "left").withColumn(f"__at{s}", F.expr(f"pmod(__hash{s}, coalesce(__cuts{s}, 1L))"))
+        df = df.withColumn(f"__at{other}", F.explode(F.expr(f"sequence(0L, coalesce(__cuts{other}, 1L) - 1)")))
+        return df.drop(f"__hash{s}", "__cutsl", "__cutsr")
+
+    session = left.sparkSession
+    block = [*cells, "__atl", "__atr"]
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    # Few bytes make very many pairs, so tasks are neither merged by bytes nor one side sent to all.
+    pairs = blocks(one, "l", "r").repartition(tasks, *block).hint("merge").join(blocks(two, "r", "l").repartition(tasks, *block), block)
+    test = F.lit(True)
+    for d in flat:
+        test = test & (F.col(f"__lol{d}") <= F.col(f"__hir{d}")) & (F.col(f"__lor{d}") <= F.col(f"__hil{d}"))
+    for d, size in enumerate(sizes):
+        test = test & (F.col(cells[d]) == F.floor(F.greatest(f"__lol{d}", f"__lor{d}") / size))
+    if sides is None:
+        test = test & overlaps(F.col(a), F.col(b))
+    return pairs.where(test).select(*left.columns, *right.columns)
 
 
 def linear_split(entries: list[tuple]) -> tuple[list[tuple], list[tuple]]:

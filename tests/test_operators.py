@@ -49,6 +49,24 @@ def test_fts(spark):
     assert one > 0
 
 
+def test_spatial_join_crowded(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 8, raising=False)
+    rows = [(k, [(0.5 + k % 3 / 10, 1.0), (k % 11 * 1.0, k % 11 + k % 4 * 1.0)]) for k in range(60)]
+    rows += [(60, [(0.0, 9.0)]), (61, [(None, 1.0), (0.0, 9.0)]), (62, [(0.0, 9.0), (0.0, 9.0), (0.0, 9.0)]), (63, [(-7.0, 12.0), (-3.0, 30.0)]), (64, [(0.0, 1.0), (None, 9.0)])]
+    rows += [(63, [(-7.0, 12.0), (-3.0, 30.0)]), (65, None), (66, [(0.0, 9.0), (0.0, 9.0), (20.0, 30.0)])]
+    df = spark.createDataFrame(rows, "k int, b array<struct<lo: double, hi: double>>")
+    left, right = df.select(F.col("k").alias("i"), F.col("b").alias("x")), df.select(F.col("k").alias("j"), F.col("b").alias("y"))
+    meet = lambda p, q: bool(p and q) and len(p) == len(q) and all(None not in (*s, *t) and s[0] <= t[1] and t[0] <= s[1] for s, t in zip(p, q, strict=True))
+    want = sorted((i, j) for i, p in rows for j, q in rows if meet(p, q))
+    got = spatial.overlap_join(left, right, "x", "y", 5.0).select("i", "j", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.i, r.j) for r in got) == want
+    assert len({r.task for r in got if r.i < 60 and r.j < 60}) > 1  # the pairs of a crowded cell are dealt to several tasks
+    two = lambda p: p is not None and len(p) == 2
+    for cell in (5.0, (5.0, 2.0)):
+        got = spatial.overlap_join(left, right, "x", "y", cell, sides=2).select("i", "j").collect()
+        assert sorted((r.i, r.j) for r in got) == sorted((i, j) for i, p in rows for j, q in rows if two(p) and meet(p, q))
+
+
 def test_spatial(spark):
     df = spark.range(1).select(
         spatial.volume(spatial.box((0, 2), (0, 3))).alias("v"),
