@@ -46,7 +46,7 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float
     cells = [f"__c{d}" for d in range(len(sizes))]
 
     def dealt(df: DataFrame, box_: str, s: str) -> DataFrame:
-        row = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        row = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         df = df if sides is None else df.where(F.size(box_) == sides)
         df = df.withColumn(f"__hash{s}", F.xxhash64(*row))
         for d in flat:
@@ -77,7 +77,7 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float
         test = test & (F.col(cells[d]) == F.floor(F.greatest(f"__lol{d}", f"__lor{d}") / size))
     if sides is None:
         test = test & overlaps(F.col(a), F.col(b))
-    return pairs.where(test).select(*left.columns, *right.columns)
+    return pairs.where(test).drop(*block, *[f"__{end}{s}{d}" for d in flat for end in ("lo", "hi") for s in "lr"])
 
 
 def linear_split(entries: list[tuple]) -> tuple[list[tuple], list[tuple]]:

@@ -61,6 +61,8 @@ def test_spatial_join_crowded(spark, monkeypatch):
     got = spatial.overlap_join(left, right, "x", "y", 5.0).select("i", "j", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.i, r.j) for r in got) == want
     assert len({r.task for r in got if r.i < 60 and r.j < 60}) > 1  # the pairs of a crowded cell are dealt to several tasks
+    same = spatial.overlap_join(left.withColumn("a.c", F.lit(1)), right.withColumn("a.c", F.lit(2)), "x", "y", 5.0)
+    assert same.columns == ["i", "x", "a.c", "j", "y", "a.c"] and same.count() == len(want)
     two = lambda p: p is not None and len(p) == 2
     for cell in (5.0, (5.0, 2.0)):
         got = spatial.overlap_join(left, right, "x", "y", cell, sides=2).select("i", "j").collect()
