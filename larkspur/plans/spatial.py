@@ -29,36 +29,60 @@ def overlaps(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(sides, lambda x: F.coalesce(x, F.lit(False)))
 
 
-#: Boxes of a side that meet in one block of ``overlap_join``, about.
-BLOCK = 2048
+#: Rows of a side that meet in one block of ``overlap_join``, about.
+BLOCK = 8192
+#: Rows with equal boxes that travel in one list at most, if the result has one column of theirs; an eighth if more.
+LIST = 128
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float | tuple[float, ...], sides: int | None = None) -> DataFrame:
+def overlap_join(
+    left: DataFrame, right: DataFrame, a: str, b: str, cell: float | tuple[float, ...], sides: int | None = None, keep: tuple[list[str], list[str]] | None = None
+) -> DataFrame:
     """Pairs of overlapping boxes, each once, by a grid on the first dimensions: one for each size in ``cell``.
 
-    Both sides are dealt to the cells they touch; a pair counts in the cell of the greater starts.
-    Where more than ``BLOCK`` boxes touch a cell each side is cut by a hash of its rows, and every
+    Rows of a side with equal boxes travel as one entry, a list, and become pairs only when their boxes
+    have met.  Both sides are dealt to the cells they touch; a pair counts in the cell of the greater starts.
+    Where entries of more than ``BLOCK`` rows touch a cell each side is cut by a hash of its entries, and every
     cut meets every cut of the other side in a block of its own, so no task holds a whole crowded
     cell.  With ``sides`` only boxes of so many sides take part, whose test is then generated code.
+    The result has the columns named in ``keep`` of the left and the right, or else all.
     """
     sizes = cell if isinstance(cell, tuple) else (cell,)
     flat = range(len(sizes) if sides is None else sides)
     cells = [f"__c{d}" for d in range(len(sizes))]
+    kept = keep or (left.columns, right.columns)
+    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
 
-    def dealt(df: DataFrame, box_: str, s: str) -> DataFrame:
-        row = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    def dealt(df: DataFrame, box_: str, s: str, columns: list[str]) -> DataFrame:
+        plain = [name(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         df = df if sides is None else df.where(F.size(box_) == sides)
-        df = df.withColumn(f"__hash{s}", F.xxhash64(*row))
-        for d in flat:
-            df = df.withColumns({f"__lo{s}{d}": F.get(box_, F.lit(d))["lo"], f"__hi{s}{d}": F.get(box_, F.lit(d))["hi"]})
+        ends = {f"__{end}{s}{d}": F.get(box_, F.lit(d))[end] for d in flat for end in ("lo", "hi")}
+        whole = ends if sides is not None else {f"__box{s}": F.col(box_)}
+        # Fields go by place, as a name may hold anything.
+        row = F.struct(*[name(c).alias(str(i)) for i, c in enumerate(columns)])
+        df = df.select(*[c.alias(n) for n, c in whole.items()], F.xxhash64(*plain).alias("__hash"), row.alias("__row"))
+        df = df.where(" AND ".join(f"{n} IS NOT NULL" for n in whole))
+        # At most one box for each BLOCK rows, so few enough to send to all.
+        common = F.broadcast(df.groupBy(*whole).agg(F.ceil(F.count("*") / BLOCK).alias("__lists")).where("__lists > 1"))
+        lists = df.join(common, list(whole), "left").withColumn("__list", F.expr("pmod(__hash, coalesce(__lists, 1L))"))
+        lists = lists.groupBy(*whole, "__list").agg(F.collect_list("__row").alias("__all"))
+        rows = F.col("__all")["0"] if len(columns) == 1 else F.col("__all")
+        # Generated code holds a list with each box it meets in a block, so lists are cut, in equal parts.
+        most = LIST if len(columns) == 1 else LIST // 8
+        df = lists.withColumns({"__n": F.size("__all"), "__of": F.ceil(F.size("__all") / most).cast("int")}).withColumn("__part", F.explode(F.expr("sequence(0, __of - 1)")))
+        start = lambda k: F.floor((F.col("__part") + k) * F.col("__n").cast("long") / F.col("__of")).cast("int")
+        part = F.when(F.col("__of") == 1, rows).otherwise(F.slice(rows, start(0) + 1, start(1) - start(0)))
+        df = df.select(*whole, part.alias(f"__rows{s}"), F.xxhash64(*whole, "__list", "__part").alias(f"__hash{s}"))
+        if sides is None:
+            df = df.withColumns({n: F.get(f"__box{s}", F.lit(d))[end] for d in flat for end in ("lo", "hi") for n in [f"__{end}{s}{d}"]})
         for d, size in enumerate(sizes):
             df = df.withColumn(cells[d], F.explode(F.sequence(F.floor(F.col(f"__lo{s}{d}") / size), F.floor(F.col(f"__hi{s}{d}") / size))))
         return df
 
-    one, two = dealt(left, a, "l"), dealt(right, b, "r")
-    cuts = lambda df, as_: df.groupBy(*cells).agg(F.ceil(F.count("*") / BLOCK).alias(as_))
+    one, two = dealt(left, a, "l", kept[0]), dealt(right, b, "r", kept[1])
+    cuts = lambda df, s: df.groupBy(*cells).agg(F.ceil(F.sum(F.size(f"__rows{s}")) / BLOCK).alias(f"__cuts{s}"))
     # At most one cell for each BLOCK rows, so few enough to send to all.
-    crowded = F.broadcast(cuts(one, "__cutsl").join(cuts(two, "__cutsr"), cells).where("__cutsl > 1 OR __cutsr > 1"))
+    crowded = F.broadcast(cuts(one, "l").join(cuts(two, "r"), cells).where("__cutsl > 1 OR __cutsr > 1"))
 
     def blocks(df: DataFrame, s: str, other: str) -> DataFrame:
         df = df.join(crowded, cells, "left").withColumn(f"__at{s}", F.expr(f"pmod(__hash{s}, coalesce(__cuts{s}, 1L))"))
@@ -76,8 +100,11 @@ def overlap_join(left: DataFrame, right: DataFrame, a: str, b: str, cell: float
     for d, size in enumerate(sizes):
         test = test & (F.col(cells[d]) == F.floor(F.greatest(f"__lol{d}", f"__lor{d}") / size))
     if sides is None:
-        test = test & overlaps(F.col(a), F.col(b))
-    return pairs.where(test).drop(*block, *[f"__{end}{s}{d}" for d in flat for end in ("lo", "hi") for s in "lr"])
+        test = test & overlaps(F.col("__boxl"), F.col("__boxr"))
+    # Row by row of the left list: runs of one row beside a list that returns are small in columnar files.
+    # The copy of the left list keeps its rows out of generated code, which would hold all pairs of a box before it hands on one.
+    pairs = pairs.where(test).select(F.explode(F.transform("__rowsl", lambda x: x)).alias("l"), "__rowsr").select("l", F.explode("__rowsr").alias("r"))
+    return pairs.select(*[(F.col(s) if len(columns) == 1 else F.col(s)[str(i)]).alias(c) for s, columns in zip("lr", kept, strict=True) for i, c in enumerate(columns)])
 
 
 def linear_split(entries: list[tuple]) -> tuple[list[tuple], list[tuple]]:

@@ -269,7 +269,7 @@ def spatial_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("a"), F.col("b").alias("x"))
     b = _boxes(spark, sf_dir).select(F.col("p_partkey").alias("b"), F.col("b").alias("y"))
     full = lambda c: F.col(c)[1]["hi"] >= F.col(c)[1]["lo"]
-    return spatial.overlap_join(a.where(full("x")), b.where(full("y")), "x", "y", (5.0, 5.0), sides=2).select("a", "b")
+    return spatial.overlap_join(a.where(full("x")), b.where(full("y")), "x", "y", (5.0, 5.0), sides=2, keep=(["a"], ["b"]))
 
 
 def changeset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

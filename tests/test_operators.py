@@ -69,6 +69,36 @@ def test_spatial_join_crowded(spark, monkeypatch):
         assert sorted((r.i, r.j) for r in got) == sorted((i, j) for i, p in rows for j, q in rows if two(p) and meet(p, q))
 
 
+def test_spatial_join_equal_boxes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(spatial, "BLOCK", 1024)
+    rows = [(k, [(k % 5 * 2.0, k % 5 * 2.0 + 3.0), (k % 2 * 1.0, k % 2 + 0.5)]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k int, b array<struct<lo: double, hi: double>>")
+    left, right = df.select(F.col("k").alias("i"), F.col("b").alias("x")), df.select(F.col("k").alias("j"), F.col("b").alias("y"))
+
+    def sent() -> int:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+    before, out = sent(), tmp_path / "pairs"
+    spatial.overlap_join(left, right, "x", "y", (5.0, 5.0), sides=2).select("i", "j").write.parquet(str(out))
+    assert sent() - before < 4000  # boxes travel, not their rows
+    meet = lambda p, q: all(s[0] <= t[1] and t[0] <= s[1] for s, t in zip(p, q, strict=True))
+    of = lambda n: [k for k in range(4000) if k % 10 == n]
+    boxes = [(of(n), of(m)) for n in range(10) for m in range(10) if meet(rows[n][1], rows[m][1])]
+    got = spark.read.parquet(str(out)).agg(F.count("*"), F.count_distinct("i", "j"), F.sum(F.col("i").cast("long") * F.col("j"))).first()
+    assert tuple(got) == (n := sum(len(p) * len(q) for p, q in boxes), n, sum(sum(p) * sum(q) for p, q in boxes))
+    monkeypatch.setattr(spatial, "LIST", 64, raising=False)
+    got = spatial.overlap_join(left, right, "x", "y", (5.0, 5.0), sides=2, keep=(["i"], ["j"]))
+    assert got.columns == ["i", "j"] and got.where("i < 400 AND j >= 3600").count() == sum(sum(k < 400 for k in p) * sum(k >= 3600 for k in q) for p, q in boxes)
+    # Rows equal in all columns, nulls, nothing to split them by.
+    same = spark.createDataFrame([(None if k % 3 else 1, "v", rows[0][1]) for k in range(1500)], "k int, v string, b array<struct<lo: double, hi: double>>")
+    monkeypatch.setattr(spatial, "BLOCK", 64)
+    for sides in (2, None):
+        got = spatial.overlap_join(same, same, "b", "b", (5.0, 5.0), sides=sides, keep=(["k"], ["v"]))
+        assert sorted(tuple(r) for r in got.groupBy("k", "v").count().na.fill(0, ["k"]).collect()) == [(0, "v", 1000 * 1500), (1, "v", 500 * 1500)]
+
+
 def test_spatial(spark):
     df = spark.range(1).select(
         spatial.volume(spatial.box((0, 2), (0, 3))).alias("v"),
